@@ -5,20 +5,53 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gustline.llm import simhash
+from gustline.llm import simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.substring_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS w FROM documents
+), starts AS (
+  SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM words
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM starts
+), firsts AS (
+  SELECT h, min(doc_id) AS first_id FROM windows GROUP BY h
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM windows JOIN firsts USING (h) WHERE first_id < doc_id
+), gone AS (
+  SELECT doc_id, list(p) AS ps FROM covered GROUP BY doc_id
+), each AS (
+  SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM words
+), kept AS (
+  SELECT e.doc_id, string_agg(x, ' ' ORDER BY e.p) AS t FROM each e LEFT JOIN covered c ON e.doc_id = c.doc_id AND e.p = c.p
+  WHERE c.p IS NULL GROUP BY e.doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM words LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring": op2_substring,
     "op6_simhash": op6_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_substring": OP2_SQL,
+}
