@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustline.llm import simhash, substring
+from gustline.llm import bytebpe, packing, quality, simhash, substring, tokencounts, tokenfiles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,9 +47,50 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return quality.quality_scores(documents, quality.fit(documents, _table(spark, sf_dir, "labels")))
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.section_tokens(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def packed(documents: DataFrame) -> DataFrame:
+    out = packing.pack_documents(documents, vocabulary("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(_table(spark, sf_dir, "documents"))
+
+
+def op9_bytebpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = vocabulary("byte_bpe_50k.tiktoken")
+    out = bytebpe.decode_documents(bytebpe.encode_documents(_table(spark, sf_dir, "documents"), path), path)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tokenfiles.token_files(spark, _table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring": op2_substring,
+    "op5_quality": op5_quality,
     "op6_simhash": op6_simhash,
+    "op7_tokencounts": op7_tokencounts,
+    "op8_packing": op8_packing,
+    "op9_bytebpe": op9_bytebpe,
+    "op10_tokenfiles": op10_tokenfiles,
 }
 
 SQL: dict[str, str] = {

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gustline.llm.common import keyed, ragged_index, stored, text_bytes, text_slices
 
@@ -231,8 +232,8 @@ def _kept(window: int):
                     n_words.append(len(words)), n_removed.append(int(drop.sum())), cuts.append(edges)
                     texts.append(b" ".join(compress(words, (~drop).tolist()) if len(edges) else words))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("key"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), _lists(cuts, pa.int32())],
-                    ["id", "key", "n_words", "n_removed", "kept_text", "spans"],
+                    [part.column("id"), part.column("rest"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), _lists(cuts, pa.int32())],
+                    ["id", "rest", "n_words", "n_removed", "kept_text", "spans"],
                 )
 
     return run
@@ -266,18 +267,23 @@ def duplicate_windows(rows: DataFrame, window: int) -> DataFrame:
     return parsed.select("id", "key", "spans").join(extra, ["id", "key"], "left")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, carry: list[str] | None = None) -> DataFrame:
     """Documents -> (id, n_words, n_removed, text, spans): passages that a document with a smaller id has, removed.
 
     Words are maximal runs of other bytes than ASCII white space. Every word goes that a window of ``window`` consecutive
     words covers whose word sequence also starts in a document with a smaller id; windows are judged on the input. text
     joins the kept words by one space; spans are (start, end, start, end, ...) word positions of what went. Null texts
     count as empty. Rows with a null id are kept whole and are no source for others; rows of one id are no sources for
-    each other, so equal rows give equal rows; an empty table gives an empty table; other columns are ignored.
+    each other, so equal rows give equal rows; an empty table gives an empty table. Other columns are left out, but those
+    in ``carry`` come as fields of the struct ``rest``.
     """
     if window <= ANCHOR_WORDS:
         raise ValueError(f"window must exceed {ANCHOR_WORDS} words")
+    rest = F.struct(*(F.col(f"`{c}`") for c in carry or []), F.lit(True).alias("_")).alias("rest")
     rows = keyed(docs, id_col, text_col)
     spans = stored(duplicate_windows(rows, window), "spans")
-    out = rows.join(spans, ["id", "key"], "left").mapInArrow(_kept(window), "id long, key long, n_words long, n_removed long, kept_text string, spans array<int>")
-    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept_text").alias("text"), "spans")
+    whole = docs.select(rest, F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    joined = whole.join(spans, ["id", "key"], "left")
+    schema = T.StructType([T.StructField("id", T.LongType()), joined.schema["rest"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("spans", T.ArrayType(T.IntegerType()))])
+    out = joined.select("id", "text", "rest", "spans", "extra").mapInArrow(_kept(window), schema)
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept_text").alias("text"), "spans", *(["rest"] if carry else []))
