@@ -19,8 +19,8 @@ def speed(u: Column, v: Column) -> Column:
 
 
 def blows_from(u: Column, v: Column) -> Column:
-    """Where the wind comes from, in degrees from north."""
-    return F.pmod(F.degrees(F.atan2(-u, -v)) + 360, F.lit(360.0))
+    """Where the wind comes from, in degrees from north; zero for calm air."""
+    return F.pmod(F.degrees(F.atan2(0 - u, 0 - v)) + 360, F.lit(360.0))
 
 
 def heading_sine(u: Column, v: Column) -> Column:

@@ -30,7 +30,7 @@ def rolling(rows: DataFrame, key: list[str], hour: str, values: list[str], hours
     return rows.withColumns({f"{v}_{n}_{hours}h": F.when(done, f(v).over(frame)) for v in values for n, f in (("mean", F.avg), ("std", F.stddev_pop))})
 
 
-def context_complete(rows: DataFrame, key: list[str], hour: str, value: str, hours: tuple[int, ...] = (3, 6), lags: tuple[int, ...] = (1, 3, 6)) -> Column:
+def context_complete(key: list[str], hour: str, value: str, hours: tuple[int, ...] = (3, 6), lags: tuple[int, ...] = (1, 3, 6)) -> Column:
     """1 where all windows are complete and all lags are there."""
     ok = F.lit(True)
     for h in hours:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 
 def hourly_stream(events: DataFrame, key: str, time: str, value: str, late: str = "2 hours") -> DataFrame:
@@ -14,10 +15,12 @@ def hourly_stream(events: DataFrame, key: str, time: str, value: str, late: str
     return sums.select(key, F.col("window.start").alias("hour"), "total", "n")
 
 
-def run_once(spark: SparkSession, source: str, checkpoint: str, key: str, time: str, value: str, name: str) -> StreamingQuery:
-    """Reads all Parquet files of a folder as a stream into an in-memory table; for tests and small catch-up runs."""
-    schema = spark.read.parquet(source).schema
-    stream = hourly_stream(spark.readStream.schema(schema).parquet(source), key, time, value)
-    query = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def events_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table, read as a stream of its files and caught up once, as (event_type, hour, total, n)."""
+    name = f"hourly_{uuid.uuid4().hex[:12]}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet").parquet(sf_dir)
+    sums = hourly_stream(stream, "event_type", "ts", "value")
+    query = sums.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
-    return query
+    return spark.table(name).select("event_type", F.col("hour").cast("timestamp_ntz").alias("hour"), "total", "n")
