@@ -16,6 +16,8 @@ from gustline.llm.common import keyed, ragged_index, text_bytes, text_slices
 WIDTH, FILTERS, CHUNK, STRIDE = 6, 16, 256, 224
 #: The bounded sample: labelled rows of each class, and chunks of each of them (spread evenly over the whole text).
 SAMPLE_ROWS, SAMPLE_CHUNKS = 1500, 8
+#: In training, such a share of documents is cut to a random length at each step, so that short texts are learned too.
+SHORT_SHARE = 0.35
 
 
 @dataclass
@@ -62,14 +64,14 @@ def probabilities(net: Network, raw: np.ndarray, rows: np.ndarray, pairs: list[n
     first = ragged_index(np.zeros(len(counts), np.int64), counts) * STRIDE
     last = np.maximum(np.minimum(first + CHUNK, lengths[row]) - WIDTH, first) + 1
     edges = np.stack([starts[row] + first, starts[row] + last], axis=1).reshape(-1)
-    pooled = np.maximum(np.maximum.reduceat(np.vstack([answer, answer[-1:]]), edges, axis=0)[::2] + net.bias, 0)
+    pooled = np.maximum(np.maximum.reduceat(answer, edges, axis=0)[::2] + net.bias, 0)
     begin = np.cumsum(counts) - counts
     mean = np.add.reduceat(pooled, begin, axis=0) / counts[:, None]
     most = np.maximum.reduceat(pooled, begin, axis=0)
     return 1 / (1 + np.exp(-np.clip((mean @ net.mean + most @ net.most + net.shift).astype(np.float64), -30, 30)))
 
 
-def train(chunks: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch: int = 32, rate: float = 0.02, seed: int = 7) -> Network:
+def train(chunks: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.02, seed: int = 7) -> Network:
     """chunks: for each document its sampled chunks (k x CHUNK bytes, zeros behind a short text). Adam on the logistic loss."""
     rng = np.random.default_rng(seed)
     p = {"taps": rng.normal(0, 0.15, (WIDTH, 256, FILTERS)).astype(np.float32), "bias": np.zeros(FILTERS, np.float32), "mean": rng.normal(0, 0.3, FILTERS).astype(np.float32), "most": np.zeros(FILTERS, np.float32), "shift": np.zeros(1, np.float32)}
@@ -84,10 +86,17 @@ def train(chunks: list[np.ndarray], labels: np.ndarray, epochs: int = 8, batch:
             docs = order[at : at + batch]
             x = np.concatenate([chunks[d] for d in docs])
             row = np.repeat(np.arange(len(docs)), [len(chunks[d]) for d in docs])
+            short = rng.random(len(docs)) < SHORT_SHARE
+            keep = ~short[row] | np.r_[True, row[1:] != row[:-1]]  # of a shortened document, the first chunk
+            x, row = x[keep].copy(), row[keep]
+            limit = np.where(short, np.exp(rng.uniform(np.log(3), np.log(CHUNK), len(docs))), CHUNK).astype(int)[row]
+            x[np.arange(CHUNK)[None] >= limit[:, None]] = 0
+            used = CHUNK - (x[:, ::-1] != 0).argmax(1) * (x != 0).any(1) - CHUNK * ~(x != 0).any(1)
             counts = np.bincount(row, minlength=len(docs))
             begin = np.cumsum(counts) - counts
             span = CHUNK - WIDTH + 1
             z = sum(np.take(p["taps"][j], x[:, j : j + span], axis=0) for j in range(WIDTH))
+            z[np.arange(span)[None] > np.maximum(used - WIDTH, 0)[:, None]] = -1e9  # as in scoring, filters end with the text
             spot = z.argmax(1)
             top = np.take_along_axis(z, spot[:, None], 1)[:, 0] + p["bias"]
             pooled = np.maximum(top, 0)
@@ -165,7 +174,7 @@ def _scored(net: Network):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = net.pairs()
         for batch in batches:
-            for part in text_slices(batch, "text", 1 << 19):
+            for part in text_slices(batch, "text", 1 << 18):
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(probabilities(net, *text_bytes(part.column("text")), pairs))], ["id", "score"])
 
     return run
@@ -177,7 +186,7 @@ def keep_good(docs: DataFrame, net: Network, text_col: str = "text") -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = net.pairs()
         for batch in batches:
-            for part in text_slices(batch, text_col, 1 << 19):
+            for part in text_slices(batch, text_col, 1 << 18):
                 good = probabilities(net, *text_bytes(part.column(text_col)), pairs) >= 0.5
                 yield part.filter(pa.array(good))
 
