@@ -14,18 +14,7 @@ from pyspark.sql import functions as F
 
 from gustline.llm import encode
 from gustline.llm.common import keyed, text_slices
-
-
-def byte_characters() -> list[str]:
-    """The character that stands for each byte: printable Latin-1 for itself, the others in order from U+0100."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    hidden = [b for b in range(256) if b not in shown]
-    out = [""] * 256
-    for b in shown:
-        out[b] = chr(b)
-    for k, b in enumerate(hidden):
-        out[b] = chr(0x100 + k)
-    return out
+from gustline.llm.encode import byte_characters
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -12,6 +12,7 @@ from array import array
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import tokenizers
 
 #: Chunks remembered by a worker; beyond that it forgets all and starts anew (results don't depend on it).
@@ -23,10 +24,24 @@ LONGEST = 64
 LED = re.compile(r"[\t-\r ]*[^\t-\r ]+|[\t-\r ]+")
 #: Other white space right before ASCII white space: there, no cut is safe.
 UNSAFE = re.compile(r"[^\S\t-\r ][\t-\r ]")
+#: A newline, a word of Latin letters with the space before it, a mark: each is a piece for itself, whatever the rest of the text.
+PLAIN = re.compile(r"(\n?)( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)")
 #: Runs without ASCII white space, for tokenizers that drop white space.
 BARE = re.compile(r"[^\t-\r ]+")
 
 
+def byte_characters() -> list[str]:
+    """The character that stands for each byte: printable Latin-1 for itself, the others in order from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    out = [""] * 256
+    for b in shown:
+        out[b] = chr(b)
+    for k, b in enumerate(hidden):
+        out[b] = chr(0x100 + k)
+    return out
+
+
 class Encoder:
     """texts -> their ids as little-endian unsigned 32-bit integers."""
 
@@ -36,6 +51,13 @@ class Encoder:
         self.tokenizer = tokenizer
         self.drops_space = drops_space
         self.known: dict[str, bytes] = {}
+        self.model = tokenizer.model
+        lower = self._whole("Q") == self._whole("q")
+        shown = byte_characters()
+        self.shown = {i: "".join(shown[b] for b in (chr(i).lower() if lower else chr(i)).encode()) for i in range(256)}
+        self.marks = {c: self._whole(c) for c in ("", "\n", *".,;:!?")}
+        # the model may be asked directly only if that gives what the whole tokenizer gives
+        self.direct = all(self._plain(PLAIN.fullmatch(c)) == self._whole(c) for w in ("a", "The", "çà", "Ünïtÿ", "straße", "reading") for c in (w, w + ".", *(() if drops_space else (" " + w, "\n" + w, "\n " + w + ","))))
 
     def chunks(self, text: str) -> list[str]:
         if self.drops_space:
@@ -50,12 +72,33 @@ class Encoder:
         self.trim()
         return out
 
+    def _whole(self, chunk: str) -> bytes:
+        return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+
+    def _plain(self, parts: re.Match) -> bytes:
+        head, body, tail = parts.groups()
+        ids = self.known.get(body) or array("I", [t.id for t in self.model.tokenize(body.translate(self.shown))]).tobytes()
+        return self.marks[head] + ids + self.marks[tail]
+
     def learn(self, split: list[list[str]]) -> None:
+        """Encodes the chunks that are new: plain words by the tokenizer's model, which skips its normalizer and splitter; others many in
+        one call, as a text that is cut beforehand, where each is encoded by itself and every id says whose it is."""
         fresh = list(set().union(*split).difference(self.known)) if split else []
-        for i in range(0, len(fresh), 20_000):
-            part = fresh[i : i + 20_000]
-            for chunk, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[chunk] = array("I", e.ids).tobytes()
+        if self.direct:
+            match, other = PLAIN.fullmatch, []
+            for chunk in fresh:
+                if parts := match(chunk):
+                    self.known[chunk] = self._plain(parts)
+                else:
+                    other.append(chunk)
+            fresh = other
+        groups = [fresh[i : i + 200] for i in range(0, len(fresh), 200)]
+        for at in range(0, len(groups), 100):
+            part = groups[at : at + 100]
+            for chunks, e in zip(part, self.tokenizer.encode_batch(part, is_pretokenized=True, add_special_tokens=False)):
+                ids = array("I", e.ids).tobytes()
+                ends = np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(chunks)), side="right") * 4
+                self.known.update(zip(chunks, (ids[s:t] for s, t in zip([0, *ends[:-1].tolist()], ends.tolist()))))
 
     def trim(self) -> None:
         if len(self.known) > REMEMBERED:
