@@ -88,8 +88,8 @@ def active_at(t: Column, start: Column, end: Column) -> Column:
 
 
 def fixed_number(x: Column, width: int, digits: tuple[int, ...] = (3, 2, 1, 0)) -> Column:
-    """The number in ``width`` characters, right-aligned, with as many decimals as fit; null if none does."""
-    options = [F.format_string(f"%.{d}f", x.cast("double")) for d in digits]
+    """The number in ``width`` characters, right-aligned, with as many decimals as fit; null if none does, and for null."""
+    options = [F.when(x.isNotNull(), F.format_string(f"%.{d}f", x.cast("double"))) for d in digits]
     return F.coalesce(*(F.when(F.length(o) <= width, F.lpad(o, width, " ")) for o in options))
 
 
