@@ -10,7 +10,8 @@ SCHEMA = "vec_id long, embedding array<float>, label int, rep int"
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, v, 0, 1) for i, v in rows], SCHEMA)
+    floats = lambda v: v if v is None else [x if x is None else float(x) for x in v]
+    return spark.createDataFrame([(i, floats(v), 0, 1) for i, v in rows], SCHEMA)
 
 
 def brute_groups(rows):
