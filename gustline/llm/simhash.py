@@ -210,8 +210,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fps = cut(rows.mapInArrow(_fingerprints(shingle_words), "id long, fp long"))
     nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
     labels = connected_components(hamming_links(nodes.select("fp"), max_bits))
-    named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    classes = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    named = cut(nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
+    # both sides of the next join are tables, so that it can split a class with very many fingerprints
+    classes = cut(named.groupBy("label").agg(F.min("least").alias("component_id")))
     by_fp = named.join(classes, "label").select("fp", "component_id")
     out = fps.join(by_fp, "fp")
     return out.select(

@@ -263,6 +263,7 @@ def duplicate_windows(rows: DataFrame, window: int) -> DataFrame:
     parsed = stored(parsed.mapInArrow(_parse(window), "id long, key long, spans array<int>, places array<int>, hashes array<long>"), "parsed")
     open_ = parsed.select("id", "key", F.explode(F.arrays_zip("places", "hashes")).alias("w")).select("id", "key", F.col("w.places").alias("place"), F.col("w.hashes").alias("hash"))
     repeated = open_.groupBy("hash").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("last_id > first_id").select("hash", "first_id")
+    repeated = stored(repeated, "repeated")  # read from a table, so that the join below can split the hash of a passage that very many documents share
     extra = open_.join(repeated, "hash").where("id > first_id").groupBy("id", "key").agg(F.collect_list("place").alias("extra"))
     return parsed.select("id", "key", "spans").join(extra, ["id", "key"], "left")
 
