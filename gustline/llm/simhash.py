@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustline.llm.common import cut, keyed, shared_dir, text_slices
+from gustline.llm.common import cut, keyed, shared_dir, stored, text_slices
 from gustline.llm.components import connected_components
 
 #: Most fingerprints of one prefix bucket that one task joins; larger buckets are joined in pairs of blocks.
@@ -212,7 +212,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     labels = connected_components(hamming_links(nodes.select("fp"), max_bits))
     named = cut(nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
     # both sides of the next join are tables, so that it can split a class with very many fingerprints
-    classes = cut(named.groupBy("label").agg(F.min("least").alias("component_id")))
+    classes = stored(named.groupBy("label").agg(F.min("least").alias("component_id")), "classes")
     by_fp = named.join(classes, "label").select("fp", "component_id")
     out = fps.join(by_fp, "fp")
     return out.select(
