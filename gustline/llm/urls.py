@@ -37,9 +37,13 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, verdict
 
 
-def _grams(url: Column) -> Column:
-    """Of each character and the end: it and the ORDER - 1 characters before it; the start counts as as many characters."""
-    chars = F.concat(F.array_repeat(F.lit("\u0002"), ORDER - 1), F.regexp_extract_all(url, F.lit("(?s)."), 0), F.array(F.lit("\u0003")))
+def _characters(url: Column) -> Column:
+    """The URL's characters between ORDER - 1 start marks and an end mark."""
+    return F.concat(F.array_repeat(F.lit("\u0002"), ORDER - 1), F.regexp_extract_all(url, F.lit("(?s)."), 0), F.array(F.lit("\u0003")))
+
+
+def _grams(chars: str) -> Column:
+    """Of each character and the end: it and the ORDER - 1 characters before it. ``chars`` names a column, as a lambda would split the URL anew for every gram."""
     return F.transform(F.sequence(F.lit(1), F.size(chars) - ORDER + 1), lambda i: F.array_join(F.slice(chars, i, ORDER), ""))
 
 
@@ -70,7 +74,8 @@ def gram_ratios(grams: DataFrame) -> DataFrame:
 
 def score_urls(urls: DataFrame) -> DataFrame:
     """(url, weight, verdict or null) of distinct URLs -> (url, verdict, weight, score): the length-normalised log-likelihood ratio."""
-    tokens = urls.select(F.xxhash64("url").alias("k1"), F.xxhash64("url", F.lit(1)).alias("k2"), "weight", "verdict", F.explode(_grams(F.col("url"))).alias("gram"))
+    split = urls.select(F.xxhash64("url").alias("k1"), F.xxhash64("url", F.lit(1)).alias("k2"), "weight", "verdict", _characters(F.col("url")).alias("chars"))
+    tokens = split.select("k1", "k2", "weight", "verdict", F.explode(_grams("chars")).alias("gram"))
     one = lambda what: F.sum(F.when(F.col("verdict") == what, F.col("weight")).otherwise(F.lit(0))).alias("yes" if what == "allow" else "no")
     ratios = gram_ratios(cut(tokens.groupBy("gram").agg(one("allow"), one("block"))))
     sums = tokens.select("k1", "k2", "gram").join(ratios, "gram").groupBy("k1", "k2").agg(F.round(F.avg("ratio"), 9).alias("score"))
