@@ -36,6 +36,14 @@ def full_outer_coverage_audit(spark, sf_dir):
     return joins.coverage_audit(table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("k")), items, ["k"])
 
 
+@query("""WITH l AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), o AS (SELECT o_orderkey AS k FROM orders)
+SELECT CASE WHEN l.k IS NULL THEN 'left_only' WHEN o.k IS NULL THEN 'right_only' ELSE 'both' END AS side, count(*) AS rows FROM o FULL OUTER JOIN l ON o.k = l.k GROUP BY 1""")
+def whole_coverage_audit(spark, sf_dir):
+    """All orders against the orders of all lines; full_outer_coverage_audit takes a filtered part of each."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")).distinct()
+    return joins.coverage_audit(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), items, ["k"])
+
+
 @query("""WITH reg AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN 'X' || s_suppkey % 20 ELSE 'S' || s_suppkey || '.1' END AS code FROM supplier),
 rows AS (SELECT p_partkey AS part, CASE WHEN p_partkey % 4 = 0 THEN 'X' || p_partkey % 40 ELSE 'S' || p_partkey % 300 || CASE WHEN p_partkey % 3 = 0 THEN '.1' ELSE '.2' END END AS code FROM part),
 e AS (SELECT code, count(*) AS n, min(id) AS id FROM reg GROUP BY 1), r AS (SELECT regexp_replace(code, '\\.\\d+$', '') AS root, count(*) AS n, min(id) AS id FROM reg GROUP BY 1)
