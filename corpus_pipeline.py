@@ -15,9 +15,18 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash class, the document with the smallest id; rows with a null id stay."""
-    dropped = simhash.simhash_groups(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Of each SimHash class one row: the smallest id (null ids last), of equal ids the smallest hash of the text, then of all columns.
+
+    Classes are found over texts, named by their hash, so ids that are null, repeated or shared by different texts neither keep a copy nor lose a text.
+    """
+    tagged = docs.withColumns({"_text": F.xxhash64(F.coalesce("text", F.lit(""))), "_row": F.xxhash64(*(x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())))})
+    texts = tagged.select("_text", "text")
+    classes = simhash.simhash_groups(texts, id_col="_text").groupBy("_text").agg(F.min("component_id").alias("class"))
+    # the best row of each text, then of each class: aggregates only, so a class with very many rows is no one task's load
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "_text", "_row")
+    best = tagged.groupBy("_text").agg(F.min(order).alias("best")).join(classes, "_text").groupBy("class").agg(F.min("best").alias("best"))
+    winners = best.select("best._text", "best._row")
+    return tagged.dropDuplicates(["_text", "_row"]).join(winners, ["_text", "_row"], "left_semi").select(docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
