@@ -44,23 +44,23 @@ def cover_tree(x: np.ndarray, points: np.ndarray | None = None, center: int | No
 
 
 def bound(q: Node, r: Node) -> float:
-    """No inner product of a point below q with a point below r is greater."""
+    """No inner product of a point below q with a point below r is greater; the margin is far above what rounding can take away."""
     top = float(q.center @ r.center) + q.radius * r.norm + r.radius * q.norm + q.radius * r.radius
-    return top + 1e-9 * (abs(top) + 1)
+    return top + 1e-9 * ((q.norm + q.radius) * (r.norm + r.radius) + 1)
 
 
 class DualSearch:
-    """The k best (score, id) of each query, ties to the smaller id."""
+    """The k best (score, id) of each query, ties to the smaller id; trees are of float64, scores of the given kind (object: exact integers)."""
 
-    def __init__(self, queries: np.ndarray, candidates: np.ndarray, ids: list[np.ndarray], k: int):
-        self.q, self.c, self.k = queries, candidates, k
+    def __init__(self, queries: np.ndarray, candidates: np.ndarray, ids: list[np.ndarray], k: int, kind: type = np.float64):
+        self.q, self.c, self.k = queries.astype(kind), candidates.astype(kind), k
         self.counts, self.flat = np.array([len(i) for i in ids]), np.concatenate(ids)
         self.first = np.cumsum(self.counts) - self.counts
-        self.score = np.full((len(queries), k), -np.inf)
+        self.score = np.full((len(queries), k), -np.inf, dtype=kind)
         self.id = np.full((len(queries), k), np.iinfo(np.int64).max)
 
     def run(self) -> None:
-        self.search(cover_tree(self.q), cover_tree(self.c))
+        self.search(cover_tree(self.q.astype(np.float64)), cover_tree(self.c.astype(np.float64)))
 
     def search(self, q: Node, r: Node) -> None:
         if bound(q, r) < q.worst:
@@ -101,20 +101,10 @@ def _block_search(k: int):
         if not candidates.num_rows or not queries.num_rows:
             return pa.table({"query": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         c, q = _matrix(candidates), _matrix(queries)
-        # float64 sums of integers are exact below 2 ** 53; beyond that exact integers are used
+        # float64 sums of integers are exact below 2 ** 53; beyond that leaves are scored in exact integers
         wide = max(float(np.abs(c).max(initial=0)), 1.0) * max(float(np.abs(q).max(initial=0)), 1.0) * max(c.shape[1], 1) >= 2**53
-        kind = object if wide else np.float64
-        search = DualSearch(q.astype(np.float64), c.astype(np.float64), [np.array(i, np.int64) for i in candidates.column("ids").to_pylist()], k)
-        if wide:
-            search.score = np.full(search.score.shape, -(10**60), dtype=object)
-            exact_q, exact_c = q.astype(kind), c.astype(kind)
-            for row in range(len(q)):
-                s = exact_c @ exact_q[row]
-                pairs = sorted((-v, i) for v, n, f in zip(s, search.counts, search.first) for i in search.flat[f : f + n])[:k]
-                search.id[row, : len(pairs)] = [i for _, i in pairs]
-                search.score[row, : len(pairs)] = [-v for v, _ in pairs]
-        else:
-            search.run()
+        search = DualSearch(q, c, [np.array(i, np.int64) for i in candidates.column("ids").to_pylist()], k, object if wide else np.float64)
+        search.run()
         found = search.id < np.iinfo(np.int64).max
         rows = np.nonzero(found)[0]
         score = np.array([int(v) for v in search.score[found]], np.int64)
@@ -128,20 +118,21 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
 
     Components become floor(scale * x), and the score is their integer inner product; ties go to the smaller id. Equal vectors are one
     point that carries its k + 1 smallest ids (no query can need more), so copies cost nothing. Rows that are null or hold null or
-    non-finite components, or whose id is null, take no part; vectors of different lengths are not compared; fewer rows than k: all. A row
-    is told from others by its id, so a repeated row is one row. Other columns are ignored; an empty table gives an empty table. Blocks of queries
+    non-finite components, or whose id is null, take no part; vectors of different lengths are not compared; fewer rows than k: all. Equal rows are one
+    row; an id with different vectors takes part with each of them, and no row is near another of its own id. Other columns are ignored; an empty table gives an empty table. Blocks of queries
     meet all blocks of candidates, each pair in one task.
     """
     big = F.lit(float("inf"))
     raw = F.col(f"`{vec_col}`")
     sound = F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < big)), F.lit(False))
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), raw.alias("v")).where(F.col("id").isNotNull() & sound)
-    rows = rows.select("id", F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("vec")).where(F.size("vec") > 0).dropDuplicates(["id"])
+    rows = rows.select("id", F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("vec")).where(F.size("vec") > 0).dropDuplicates(["id", "vec"])
     first = rows.withColumn("rn", F.row_number().over(Window.partitionBy("vec").orderBy("id"))).where(F.col("rn") <= k + 1)
     points = cut(first.groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     asked = rows.where(F.col("id") % query_every == 0)
-    owners = cut(asked.withColumn("query", F.min("id").over(Window.partitionBy("vec"))).select("id", "query", "vec"))
-    queries = owners.where("id = query").select("query", "vec")
+    queries = cut(asked.select("vec").distinct().withColumn("query", F.monotonically_increasing_id()))
+    owners = cut(asked.join(queries, "vec").select("id", "query"))
+    deep = k + (owners.groupBy("id").count().agg(F.max("count")).first()[0] or 1)  # a query's own id may hold as many of the best places as it has vectors
     blocks = max(1, -(-points.count() // CANDIDATE_BLOCK))
     sets = max(1, -(-queries.count() // QUERY_BLOCK))
     dim = F.size("vec").alias("dim")
@@ -149,9 +140,9 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     left = points.select("vec", "ids", dim, F.pmod(F.xxhash64("vec"), F.lit(blocks)).cast("int").alias("block"), every(sets).alias("set"))
     right = queries.select("query", "vec", dim, F.pmod(F.xxhash64("query"), F.lit(sets)).cast("int").alias("set"), every(blocks).alias("block"))
     pair = ["dim", "block", "set"]
-    found = left.groupBy(pair).cogroup(right.groupBy(pair)).applyInArrow(_block_search(k + 1), "query long, vec_id long, score long")
+    found = left.groupBy(pair).cogroup(right.groupBy(pair)).applyInArrow(_block_search(deep), "query long, vec_id long, score long")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    near = found.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k + 1).drop("rn")
+    near = found.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= deep).drop("rn")
     mine = owners.select(F.col("id").alias("query_id"), "query").join(near, "query").where("vec_id <> query_id")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return mine.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
