@@ -34,6 +34,14 @@ def interval_95(samples: DataFrame, value: str) -> DataFrame:
     return samples.agg(F.percentile(value, 0.025).alias("low"), F.percentile(value, 0.975).alias("high"))
 
 
+def day_interval(rows: DataFrame, day: str, actual: Column, before: Column, after: Column, samples: int = 2000) -> DataFrame:
+    """One row: the gain in WAPE over all rows, and its 95 percent interval and count over draws of days (as many as the reference takes)."""
+    gain = ratio(F.sum(F.abs(before - actual)) - F.sum(F.abs(after - actual)), F.sum(F.abs(actual)))
+    draws = day_bootstrap(rows, day, actual, before, after, samples)
+    count = draws.agg(F.count("*").alias("draws"))
+    return rows.agg(gain.alias("gain")).join(F.broadcast(interval_95(draws, "gain"))).join(F.broadcast(count))  # one row each
+
+
 def orthogonal_effect(rows: DataFrame, outcome: Column, treatment: Column, hour_index: str, cluster_hours: int = 24) -> DataFrame:
     """One row: theta = sum(d y) / sum(d d) and its standard error clustered by blocks of hours.
 
