@@ -76,25 +76,42 @@ def character_starts(text: bytes, lengths: np.ndarray) -> np.ndarray:
     return before[at + 1] - 1 if len(at) else at
 
 
-def _encode(path: str):
+def character_ends(text: bytes, lengths: np.ndarray) -> np.ndarray:
+    """Where each token ends, in characters; a token that ends inside a character ends behind it."""
+    begins = (np.frombuffer(text, np.uint8) & 0xC0) != 0x80
+    return np.r_[0, np.cumsum(begins)][np.cumsum(lengths)]
+
+
+def _offsets(texts: list[bytes], ids: list[bytes], lengths: np.ndarray) -> list[pa.Array]:
+    own = [lengths[np.frombuffer(x, "<u4")] for x in ids]
+    return [pa.array([f(t, n) for t, n in zip(texts, own)], pa.list_(pa.int32())) for f in (character_starts, character_ends)]
+
+
+def _encode(path: str, offsets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
+        lengths = np.array([len(t) for t in token_bytes(path)]) if offsets else None
         for batch in batches:
             for part in text_slices(batch, "text"):
-                ids = own.encode(part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
+                texts = part.column("text").to_pylist()
+                ids = own.encode(texts)
+                columns = [part.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if offsets:
+                    columns += _offsets([t.encode() for t in texts], ids, lengths)
+                yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids", "starts", "ends"][: len(columns)])
 
     return run
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
     """Documents -> (id, n_tokens, ids): ids of each whole text (null: empty), as little-endian unsigned 32-bit integers.
 
-    Strings of special tokens are ordinary text. Null ids stay null; equal rows give equal rows; an empty text has no
-    ids; an empty table gives an empty table; other columns are ignored.
+    With ``offsets`` also starts and ends: the characters that each token covers, whole or in part. Strings of special tokens are ordinary
+    text. Null ids stay null; equal rows give equal rows; an empty text has no ids; an empty table gives an empty table; other columns are ignored.
     """
     rows = keyed(docs, id_col, text_col).select("id", "text")
-    return rows.mapInArrow(_encode(path), "id long, n_tokens long, ids binary").withColumnRenamed("id", id_col)
+    more = ", starts array<int>, ends array<int>" if offsets else ""
+    return rows.mapInArrow(_encode(path, offsets), f"id long, n_tokens long, ids binary{more}").withColumnRenamed("id", id_col)
 
 
 def decode_documents(tokens: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
