@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gustline.llm import encode
-from gustline.llm.common import keyed, text_slices
+from gustline.llm.common import keyed, ragged_index, text_bytes, text_slices
 from gustline.llm.encode import byte_characters
 
 
@@ -82,9 +82,10 @@ def character_ends(text: bytes, lengths: np.ndarray) -> np.ndarray:
     return np.r_[0, np.cumsum(begins)][np.cumsum(lengths)]
 
 
-def _offsets(texts: list[bytes], ids: list[bytes], lengths: np.ndarray) -> list[pa.Array]:
-    own = [lengths[np.frombuffer(x, "<u4")] for x in ids]
-    return [pa.array([f(t, n) for t, n in zip(texts, own)], pa.list_(pa.int32())) for f in (character_starts, character_ends)]
+def _offsets(texts: pa.Array, ids: np.ndarray, ends: np.ndarray, lengths: np.ndarray) -> list[pa.Array]:
+    raw, rows = text_bytes(texts)
+    own = [(raw[s:e].tobytes(), lengths[ids[i:j]]) for s, e, i, j in zip(rows[:-1], rows[1:], ends[:-1], ends[1:])]
+    return [pa.array([f(t, n) for t, n in own], pa.list_(pa.int32())) for f in (character_starts, character_ends)]
 
 
 def _encode(path: str, offsets: bool):
@@ -93,11 +94,10 @@ def _encode(path: str, offsets: bool):
         lengths = np.array([len(t) for t in token_bytes(path)]) if offsets else None
         for batch in batches:
             for part in text_slices(batch, "text"):
-                texts = part.column("text").to_pylist()
-                ids = own.encode(texts)
-                columns = [part.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                ids, ends = own.encode_column(part.column("text"))
+                columns = [part.column("id"), pa.array(np.diff(ends)), encode.id_rows(ids, ends)]
                 if offsets:
-                    columns += _offsets([t.encode() for t in texts], ids, lengths)
+                    columns += _offsets(part.column("text"), ids, ends, lengths)
                 yield pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids", "starts", "ends"][: len(columns)])
 
     return run
@@ -123,11 +123,19 @@ def decode_documents(tokens: DataFrame, path: str, ids_col: str = "ids") -> Data
     from pyspark.sql import types as T
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = token_bytes(path)
+        tokens = token_bytes(path)
+        sizes = np.array([len(t) for t in tokens], np.int64)
+        table, places = np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes
         for batch in batches:
             for part in text_slices(batch, ids_col):
-                raw = [b"".join(map(table.__getitem__, memoryview(x.as_buffer()).cast("I") if x.is_valid else ())) for x in part.column(ids_col)]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(raw, pa.binary())], [*part.schema.names, "decoded"])
+                ids, rows = text_bytes(part.column(ids_col))
+                ids, rows = np.ascontiguousarray(ids).view("<u4"), rows // 4
+                if len(ids) and int(ids.max()) >= len(sizes):
+                    raise IndexError(f"the vocabulary has no id {int(ids.max())}")
+                upto = np.r_[0, np.cumsum(sizes[ids])]
+                raw = table[ragged_index(places[ids], sizes[ids])]
+                decoded = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(upto[rows].astype(np.int32)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded], [*part.schema.names, "decoded"])
 
     base = tokens.drop("decoded")
     return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("decoded", T.BinaryType())]))

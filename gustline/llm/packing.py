@@ -15,57 +15,97 @@ from gustline.llm.common import keyed, shared_dir, text_slices
 
 #: What a cut costs, in tokens of padding: behind a sentence, and elsewhere inside a document. Between documents it is free.
 SENTENCE_CUT, FORCED_CUT = 8, 64
-#: Of the sentence ends in so many tokens one may be a cut; where there is none for FORCED_STEP tokens, a cut may be forced.
-SENTENCE_STEP, FORCED_STEP = 16, 512
-#: Tokens that are planned at once; what lies behind the last good cut is planned again with what follows.
-HORIZON = 1 << 18
-
-
-def cut_points(ids: np.ndarray, ends_sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where a document may be cut (ids before the cut; the last is its end), and what the cut costs."""
-    n = len(ids)
-    at = np.flatnonzero(ends_sentence[ids[:-1]]) + 1
-    if len(at):
-        at = at[np.r_[at[1:] // SENTENCE_STEP != at[:-1] // SENTENCE_STEP, True]]
-    at = np.r_[at, n]
+#: Tokens that are planned before settled sequences are given out; the plan doesn't depend on it.
+STEP = 1 << 18
+
+
+def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where documents that lie in a row may be cut (ids before the cut), and what the cut costs: at each document's end, behind every sentence, and
+    in a stretch of over ``capacity`` ids without either at every id."""
+    cost = np.full(len(ids) + 1, -1, np.int64)
+    cost[1:][ends_sentence[ids]] = SENTENCE_CUT
+    cost[doc_ends] = 0
+    at = np.flatnonzero(cost[1:] >= 0) + 1
     gaps = np.diff(np.r_[0, at])
-    cost = np.full(len(at), SENTENCE_CUT)
-    cost[-1] = 0
-    if gaps.max() > FORCED_STEP:
-        inside = (gaps - 1) // FORCED_STEP
-        starts = np.repeat(at - gaps, inside)
-        step = np.arange(inside.sum()) - np.repeat(np.cumsum(inside) - inside, inside) + 1
-        at, cost = np.r_[at, starts + step * FORCED_STEP], np.r_[cost, np.full(int(inside.sum()), FORCED_CUT)]
-        order = np.argsort(at, kind="stable")
-        at, cost = at[order], cost[order]
-    return at, cost
+    for k in np.flatnonzero(gaps > capacity):
+        cost[at[k] - gaps[k] + 1 : at[k]] = FORCED_CUT
+    at = np.flatnonzero(cost[1:] >= 0) + 1
+    return at, cost[at]
 
 
-def plan_cuts(at: list[int], cost: list[int], capacity: int) -> list[int]:
-    """The cuts with the least padding and cut costs, from 0 to the best cut among the last ``capacity`` tokens.
+class Plan:
+    """The cuts of a stream with the least padding and cut costs, as cut points come in.
 
-    at: rising cut points, the last the end; neighbours lie at most ``capacity`` apart. The total up to a cut is the least
-    total over the cuts at most ``capacity`` before it, plus one sequence and the cut's cost: a minimum over a sliding window, which a monotone queue keeps.
+    The total up to a cut is the least total over the cuts at most ``capacity`` before it, plus one sequence and the cut's
+    cost: a minimum over a sliding window, which a monotone queue keeps. Only the cuts in the queue can come before a later one, so what the best
+    ways to all of them share is part of the plan of the whole stream, and can be given out.
     """
-    at = [0, *at]
-    total, before, queue, head = [0], [0], [0], 0
-    for j in range(1, len(at)):
-        reach = at[j] - capacity
-        while at[queue[head]] < reach:
-            head += 1
-        i = queue[head]
-        t = total[i] + capacity + cost[j - 1]
-        total.append(t)
-        before.append(i)
-        while len(queue) > head and total[queue[-1]] >= t:
-            queue.pop()
-        queue.append(j)
-    last = min((j for j in range(len(at)) if at[j] > at[-1] - capacity), key=lambda j: (total[j] - at[j], -j))
-    cuts = []
-    while last:
-        cuts.append(at[last])
-        last = before[last]
-    return cuts[::-1]
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.at, self.total, self.before, self.queue, self.head = [0], [0], [0], [0], 0
+
+    def extend(self, points: list[int], costs: list[int]) -> None:
+        """Rising cut points, neighbours at most ``capacity`` apart, and their costs."""
+        at, total, before, queue, head, capacity = self.at, self.total, self.before, self.queue, self.head, self.capacity
+        j = len(at)
+        at += points
+        for here, cost in zip(points, costs):
+            reach = here - capacity
+            while at[queue[head]] < reach:
+                head += 1
+            i = queue[head]
+            t = total[i] + capacity + cost
+            total.append(t)
+            before.append(i)
+            while len(queue) > head and total[queue[-1]] >= t:
+                queue.pop()
+            queue.append(j)
+            j += 1
+        del queue[:head]
+        self.head = 0
+
+    def _way(self, last: int) -> list[int]:
+        cuts = []
+        while last:
+            cuts.append(self.at[last])
+            last = self.before[last]
+        return cuts[::-1]
+
+    def settled(self) -> list[int]:
+        """The cuts that the best ways to all cuts in the queue share; they are forgotten."""
+        ends = set(self.queue)
+        while len(ends) > 1:
+            last = max(ends)
+            ends.remove(last)
+            ends.add(self.before[last])
+        root = ends.pop()
+        cuts = self._way(root)
+        self.at, self.total = self.at[root:], self.total[root:]
+        self.before = [max(i - root, 0) for i in self.before[root:]]
+        self.queue = [i - root for i in self.queue]
+        return cuts
+
+    def best(self) -> list[int]:
+        """The best way to a cut among the last ``capacity`` ids; what is behind it needs no padding."""
+        end = self.at[-1]
+        return self._way(min((j for j in range(len(self.at)) if self.at[j] > end - self.capacity), key=lambda j: (self.total[j] - self.at[j], -j)))
+
+    def finish(self) -> list[int]:
+        """The rest of the plan: the best way, then sequences of power-of-two lengths."""
+        cuts = self.best()
+        done = cuts[-1] if cuts else self.at[0]
+        for n in powers_of_two(self.at[-1] - done):
+            done += n
+            cuts.append(done)
+        return cuts
+
+
+def plan_cuts(at: list[int], cost: list[int], capacity: int) -> list[int]:
+    """The cuts with the least padding and cut costs of a whole stream, from 0 to the best cut among its last ``capacity`` ids."""
+    plan = Plan(capacity)
+    plan.extend(at, cost)
+    return plan.best()
 
 
 def powers_of_two(n: int) -> list[int]:
@@ -74,52 +114,51 @@ def powers_of_two(n: int) -> list[int]:
 
 
 class Packer:
-    """Takes documents in order; gives pieces (document, start, sequence, offset, ids)."""
-
-    def __init__(self, capacity: int, ends_sentence: np.ndarray):
-        self.capacity, self.ends_sentence = capacity, ends_sentence
-        self.docs: list[tuple[int, int, int, np.ndarray]] = []  # id, ids before this part, ids of the document, ids of this part
-        self.waiting, self.sequence = 0, 0
-
-    def add(self, doc_id: int, ids: np.ndarray) -> list[tuple]:
-        self.docs.append((doc_id, 0, len(ids), ids))
-        self.waiting += len(ids)
-        return self.flush() if self.waiting >= HORIZON else []
-
-    def flush(self, end: bool = False) -> list[tuple]:
-        if not self.docs:
-            return []
-        points, costs, at = [], [], 0
-        for _, _, _, ids in self.docs:
-            p, c = cut_points(ids, self.ends_sentence)
-            points += (p + at).tolist()
-            costs += c.tolist()
-            at += len(ids)
-        cuts = plan_cuts(points, costs, self.capacity)
-        if end:  # the rest goes into sequences of power-of-two lengths, which need no padding
-            done = cuts[-1] if cuts else 0
-            for n in powers_of_two(at - done):
-                done += n
-                cuts.append(done)
-        return self._take(cuts)
-
-    def _take(self, cuts: list[int]) -> list[tuple]:
-        out, rest, at, k, done = [], [], 0, 0, 0
-        for doc_id, start, total, ids in self.docs:
-            used = 0
-            while used < len(ids) and k < len(cuts):
-                n = min(len(ids) - used, cuts[k] - at)
-                out.append((doc_id, start + used, total, self.sequence + k, at - done, ids[used : used + n]))
-                used += n
-                at += n
-                if at == cuts[k]:
-                    done = at
-                    k += 1
-            if used < len(ids):
-                rest.append((doc_id, start + used, total, ids[used:]))
+    """Takes documents in order; gives batches of pieces."""
+
+    def __init__(self, capacity: int, ends_sentence: np.ndarray, base: int):
+        self.ends_sentence, self.base = ends_sentence, base
+        self.plan, self.given, self.sequence = Plan(capacity), 0, 0
+        self.ids, self.names, self.ends = np.zeros(0, np.uint32), [], np.zeros(0, np.int64)  # documents not yet given out whole: ids, names, places of their ends
+        self.begin = 0  # the place of the first of them
+
+    def add(self, names: list[int | None], ids: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Documents, their ids in a row, and where each ends."""
+        for first in range(0, len(names), 64):  # documents are many or long, so some STEP at once
+            own = ends[first : first + 64]
+            start = ends[first - 1] if first else 0
+            points, costs = cut_points(ids[start : own[-1]], own - start, self.ends_sentence, self.plan.capacity)
+            place = self.begin + len(self.ids)
+            self.plan.extend((points + place).tolist(), costs.tolist())
+            self.ids = np.concatenate([self.ids, ids[start : own[-1]]])
+            self.names += names[first : first + 64]
+            self.ends = np.concatenate([self.ends, own - start + place])
+            if len(self.ids) >= STEP:
+                yield from self._give(self.plan.settled())
+
+    def finish(self) -> Iterator[pa.RecordBatch]:
+        if self.names:
+            yield from self._give(self.plan.finish())
+
+    def _give(self, cuts: list[int]) -> Iterator[pa.RecordBatch]:
+        """The pieces up to the last cut; places count from the partition's first id."""
+        if not cuts:
+            return
+        cuts = np.array(cuts, np.int64)
+        starts = np.r_[self.begin, self.ends[:-1]]
+        edges = np.unique(np.r_[self.given, cuts, self.ends[(self.ends > self.given) & (self.ends < cuts[-1])]])
+        left, right = edges[:-1], edges[1:]
+        doc, seq = np.searchsorted(self.ends, left, side="right"), np.searchsorted(cuts, left, side="right")
+        offset = left - np.r_[self.given, cuts][seq]
+        names = pa.array(self.names, pa.int64()).take(pa.array(doc))
+        numbers = [left - starts[doc], right - left, (self.ends - starts)[doc], self.base + self.sequence + seq, offset]
+        own = encode.id_rows(self.ids[self.given - self.begin : cuts[-1] - self.begin], edges - self.given)
+        yield pa.RecordBatch.from_arrays([names, *(pa.array(x) for x in numbers), own], ["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
         self.sequence += len(cuts)
-        self.docs, self.waiting = rest, sum(len(r[3]) for r in rest)
-        return out
+        self.given = int(cuts[-1])
+        done = int(np.searchsorted(self.ends, self.given, side="right"))  # documents given out whole
+        begin = int(self.ends[done - 1]) if done else self.begin
+        self.ids, self.names, self.ends, self.begin = self.ids[begin - self.begin :], self.names[done:], self.ends[done:], begin
 
 
 def _pack(path: str, capacity: int, end_id: int):
@@ -128,40 +167,30 @@ def _pack(path: str, capacity: int, end_id: int):
         vocab = encoder.tokenizer.get_vocab()
         ends_sentence = np.zeros(max(max(vocab.values()), end_id) + 1, bool)
         ends_sentence[[i for token, i in vocab.items() if token.removesuffix("</w>")[-1:] in (".", "!", "?")]] = True
-        packer = Packer(capacity, ends_sentence)
-        base = TaskContext.get().partitionId() << 40
-        last = np.array([end_id], np.uint32).tobytes()
+        packer = Packer(capacity, ends_sentence, TaskContext.get().partitionId() << 40)
         for batch in batches:
             for part in text_slices(batch, "text"):
-                pieces = []
-                for doc_id, ids in zip(part.column("id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
-                    pieces += packer.add(doc_id, np.frombuffer(ids + last, np.uint32))
-                yield from _batches(pieces, base)
-        while packer.docs:
-            yield from _batches(packer.flush(end=True), base)
+                ids, ends = encoder.encode_column(part.column("text"), end_id)
+                yield from packer.add(part.column("id").to_pylist(), ids, ends[1:])
+        yield from packer.finish()
 
     return run
 
 
-def _batches(pieces: list[tuple], base: int) -> Iterator[pa.RecordBatch]:
-    if pieces:
-        ids, starts, totals, sequences, offsets, tokens = zip(*pieces)
-        columns = [ids, starts, [len(t) for t in tokens], totals, [base + s for s in sequences], offsets]
-        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), pa.array([t.tobytes() for t in tokens], pa.binary())], ["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
-
-
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 2) -> DataFrame:
     """Documents -> (id, start, length, doc_tokens, sequence_id, offset, ids): the pieces of all documents in sequences.
 
     Each text (null: empty) is encoded whole and gets ``end_id``. Documents stay in the order of their ids: the table is
-    dealt into ranges of ids, each range is one stream of tokens, and the stream's cuts are planned so that padding to ``capacity``
-    plus the cost of cuts inside documents is least. What remains at a range's end fills sequences of power-of-two lengths. A sequence is named by
-    its range and its number there; offsets have no gaps. ids is little-endian unsigned 32-bit. Every id of every document is in
+    dealt into ranges of ids, each range is one stream of tokens, and the stream's cuts, at documents' and sentences' ends, are planned so that padding
+    to ``capacity`` plus the cost of cuts inside documents is least. Only in a stretch of over ``capacity`` ids without such an end may any id be cut
+    behind. What remains at a range's end fills sequences of power-of-two lengths. A sequence is named by its range and its number there; offsets have
+    no gaps. The ranges' bounds come from a sample of ids that Spark draws, so a table read in other parts may get other bounds, and near them other
+    cuts and sequence ids. ids is little-endian unsigned 32-bit. Every id of every document is in
     one piece, an empty document's end id too. Rows with a null id come first, under a null id; rows of one id follow each other by a hash of their
     text; an empty table gives an empty table; other columns are ignored.
     """
-    if capacity < FORCED_STEP:
-        raise ValueError(f"capacity must be {FORCED_STEP} or more")
+    if capacity < 1:
+        raise ValueError("capacity must be positive")
     shared_dir(docs.sparkSession)
     rows = keyed(docs, id_col, text_col).repartitionByRange("id", "key").sortWithinPartitions("id", "key").select("id", "text")
     out = rows.mapInArrow(_pack(tokenizer_path, capacity, end_id), "id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

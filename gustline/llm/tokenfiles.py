@@ -33,7 +33,6 @@ def _write(folder: str, path: str, end_id: int):
         encoder = encode.from_file(path)
         kind = np.uint16 if max(encoder.tokenizer.get_vocab_size() - 1, end_id) < 1 << 16 else np.uint32
         name = f"{task.partitionId():06d}-{task.taskAttemptId()}"
-        last = struct.pack("<I", end_id)
         out, docs, tokens = None, 0, 0
         for batch in batches:
             for part in text_slices(batch, "text"):
@@ -41,13 +40,12 @@ def _write(folder: str, path: str, end_id: int):
                     os.makedirs(folder, exist_ok=True)
                     out = [open(f"{folder}/{name}.{ext}", "wb") for ext in ("tokens", "offsets", "ids")]
                     out[1].write(struct.pack("<q", 0))
-                ids = encoder.encode(part.column("text").to_pylist())
-                lengths = np.array([len(x) // 4 + 1 for x in ids], np.int64)
-                out[0].write(np.frombuffer(b"".join(x + last for x in ids), "<u4").astype(f"<u{np.dtype(kind).itemsize}").tobytes())
-                out[1].write((tokens + np.cumsum(lengths)).astype("<i8").tobytes())
+                ids, ends = encoder.encode_column(part.column("text"), end_id)
+                out[0].write(ids.astype(f"<u{np.dtype(kind).itemsize}").tobytes())
+                out[1].write((tokens + ends[1:]).astype("<i8").tobytes())
                 out[2].write(part.column("id").fill_null(NO_ID).to_numpy().astype("<i8").tobytes())
-                docs += len(ids)
-                tokens += int(lengths.sum())
+                docs += part.num_rows
+                tokens += len(ids)
         if out is not None:
             for f in out:
                 f.flush()
@@ -82,9 +80,10 @@ def _read(folder: str):
                 step = 500
                 for at in range(0, len(ids), step):
                     to = min(at + step, len(ids))
-                    data = [tokens[s:e].astype("<u4").tobytes() for s, e in zip(offsets[at:to], offsets[at + 1 : to + 1])]
+                    own = offsets[at : to + 1] - offsets[at]
+                    data = encode.id_rows(tokens[offsets[at] : offsets[to]], own)
                     names = pa.array(ids[at:to], mask=ids[at:to] == NO_ID)
-                    yield pa.RecordBatch.from_arrays([names, pa.array(row["base"] + offsets[at:to]), pa.array(np.diff(offsets[at : to + 1])), pa.array(data, pa.binary())], ["id", "start", "n_tokens", "ids"])
+                    yield pa.RecordBatch.from_arrays([names, pa.array(row["base"] + offsets[at:to]), pa.array(np.diff(own)), data], ["id", "start", "n_tokens", "ids"])
 
     return run
 
