@@ -38,7 +38,8 @@ FROM embeddings e JOIN classes USING (vec_id) LEFT JOIN counts ON counts.vec_id
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring.substring_dedup(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(kept, 256).alias("kept_sha256"))
 
 
 OP2_SQL = r"""

@@ -1,16 +1,16 @@
-"""Substring dedup: documents are parsed greedily against the reference blocks that share an anchor with them.
-
-A relative Lempel-Ziv parse needs the blocks in which a document's text may recur. Anchors find them: of every window of
-``window`` words the word sequence with the smallest hash. Equal windows have equal anchors, so a document needs only the
-blocks around the first occurrence of its anchors. Factors of at least ``window`` words become duplicate spans. Windows
-that no factor covers (those across factor boundaries, and those whose first occurrence is elsewhere) are checked by
-an exchange of window hashes, but only those whose anchor more than one document has.
+"""Substring dedup: documents are parsed greedily against the reference blocks in which their windows occur first.
+
+A relative Lempel-Ziv parse needs the blocks in which a document's text may recur. An index of all blocks finds them in two steps. Anchors: of
+every window of ``window`` words the word sequence with the smallest hash; equal windows have equal anchors, so only windows whose anchor more than
+one document has go on. Windows: the hash of each of these leads to the block of the first document that has it. Then every
+block of a document is factored against the blocks that its windows lead to: factors of at least ``window`` words become
+duplicate spans, and at each factor's boundary the windows across it are compared with the reference too. What goes is decided by words alone, never by a hash of
+windows; a window could only be missed where two different ones share a 64-bit hash.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -58,84 +58,95 @@ class _Rolling:
         return _mixed(d * self.back[: len(d)] + np.uint64(length))
 
 
+def word_edges(raw: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and row offsets -> where words begin and end."""
+    solid = np.r_[False, ~_SPACE[raw], False]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[rows] = True
+    starts = np.flatnonzero(solid[1:-1] & (edge[:-1] | ~solid[:-2]))
+    return starts, np.flatnonzero(solid[1:-1] & (edge[1:] | ~solid[2:])) + 1
+
+
 def word_hashes(raw: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets -> a 64-bit hash of every word, and the offsets of the rows' words."""
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(rows), np.int64)
-    solid = ~_SPACE[raw]
-    edge = np.zeros(n + 1, bool)
-    edge[rows] = True
-    starts = np.flatnonzero(solid & (edge[:-1] | np.r_[True, ~solid[:-1]]))
-    ends = np.flatnonzero(solid & (edge[1:] | np.r_[~solid[1:], True])) + 1
+    starts, ends = word_edges(raw, rows)
     sums = np.r_[np.uint64(0), np.cumsum(_BYTE[raw] * _powers(_R, n))]
     hashes = _mixed((sums[ends] - sums[starts]) * _powers(pow(_R, -1, 1 << 64), n)[starts] + (ends - starts).astype(np.uint64))
     return hashes, np.searchsorted(starts, rows)
 
 
-def window_anchors(words: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every window of the rows: its start, its row, its anchor's hash and its anchor's start."""
+def window_anchors(words: np.ndarray, rows: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window of the rows: its start, its row and its anchor's hash."""
     grams = _Rolling(words, _Q).runs(ANCHOR_WORDS)
     per_row = np.maximum(np.diff(rows) - window + 1, 0)
     starts = ragged_index(rows[:-1], per_row)
     row = np.repeat(np.arange(len(per_row)), per_row)
     if not len(starts):
-        return starts, row, np.zeros(0, np.uint64), starts
+        return starts, row, np.zeros(0, np.uint64)
     span = window - ANCHOR_WORDS + 1
     least, width = grams, 1
     while width * 2 <= span:
         least = np.minimum(least[: len(least) - width], least[width:])
         width *= 2
     least = np.minimum(least[: len(grams) - span + 1], least[span - width : len(grams) - width + 1])
-    value = least[starts]
-    fresh = np.r_[True, (value[1:] != value[:-1]) | (row[1:] != row[:-1])]  # windows in a row mostly share their anchor
-    at = np.flatnonzero(fresh)
-    place = np.concatenate([starts[part] + np.argmin(grams[starts[part][:, None] + np.arange(span)], axis=1) for part in np.array_split(at, len(at) // 20000 + 1)])
-    return starts, row, value, place[np.cumsum(fresh) - 1]
+    return starts, row, least[starts]
 
 
 def _anchor_rows(window: int):
+    """The distinct anchors of each document."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text", 2 << 20):
                 words, rows = word_hashes(*text_bytes(part.column("text")))
-                starts, row, value, place = window_anchors(words, rows, window)
-                if not len(starts):
+                _, row, value = window_anchors(words, rows, window)
+                if not len(row):
                     continue
-                order = np.lexsort((place, value, row))
-                first = order[np.r_[True, (value[order][1:] != value[order][:-1]) | (row[order][1:] != row[order][:-1])]]
-                pick = pa.array(row[first])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(value[first].view(np.int64)), part.column("id").take(pick), part.column("key").take(pick), pa.array((place - rows[row])[first].astype(np.int32))],
-                    ["anchor", "id", "key", "at"],
-                )
+                fresh = np.r_[True, (value[1:] != value[:-1]) | (row[1:] != row[:-1])]
+                row, value = row[fresh], value[fresh]
+                order = np.lexsort((value, row))
+                row, value = row[order], value[order]
+                fresh = np.r_[True, (value[1:] != value[:-1]) | (row[1:] != row[:-1])]
+                pick = pa.array(row[fresh])
+                yield pa.RecordBatch.from_arrays([pa.array(value[fresh].view(np.int64)), part.column("id").take(pick), part.column("key").take(pick)], ["anchor", "id", "key"])
 
     return run
 
 
-def _block_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The wanted reference blocks of documents, as hashed words."""
-    for batch in batches:
-        for part in text_slices(batch, "text", 2 << 20):
-            words, rows = word_hashes(*text_bytes(part.column("text")))
-            ids, keys, blocks, data = [], [], [], []
-            for i, (key_id, key, wanted) in enumerate(zip(part.column("id").to_pylist(), part.column("key").to_pylist(), part.column("blocks").to_pylist())):
-                for b in wanted:
-                    piece = words[rows[i] + b * BLOCK_WORDS : min(rows[i] + (b + 1) * BLOCK_WORDS, rows[i + 1])]
-                    ids.append(key_id), keys.append(key), blocks.append(b), data.append(piece.tobytes())
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(blocks, pa.int32()), pa.array(data, pa.binary())], ["ref_id", "ref_key", "block", "words"])
-
-
-def reference_text(blocks: list[dict]) -> np.ndarray:
-    """Blocks joined: neighbours of one document without a gap, others with a word between them that no text has."""
-    parts, before = [], None
-    for k, b in enumerate(sorted(blocks, key=lambda b: (b["ref_id"], b["ref_key"], b["block"]))):
-        this = (b["ref_id"], b["ref_key"], b["block"])
-        if before is None or before != (this[0], this[1], this[2] - 1):
-            parts.append(_mixed(np.array([k * 2 + 1], np.uint64) * np.uint64(_R)))
-        parts.append(np.frombuffer(b["words"], np.uint64))
-        before = this
+def _block_rows(window: int):
+    """Blocks of documents with windows whose anchor is shared: the words that these windows cover, where the windows begin, and their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "text", 2 << 20):
+                words, rows = word_hashes(*text_bytes(part.column("text")))
+                starts, row, value = window_anchors(words, rows, window)
+                hashes = _Rolling(words, _Q).runs(window)
+                bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
+                at, firsts, data, places, prints = [], [], [], [], []
+                for i, shared in enumerate(part.column("anchors")):
+                    own = slice(bounds[i], bounds[i + 1])
+                    mine = starts[own][np.isin(value[own], shared.values.to_numpy().view(np.uint64))]
+                    for some in np.split(mine, np.flatnonzero(np.diff((mine - rows[i]) // BLOCK_WORDS)) + 1):
+                        if len(some):
+                            at.append(i), firsts.append(some[0] - rows[i]), data.append(words[some[0] : some[-1] + window].tobytes())
+                            places.append((some - some[0]).astype(np.int32)), prints.append(hashes[some].view(np.int64))
+                if at:
+                    first = np.array(firsts, np.int64)
+                    ids = [part.column(c).take(pa.array(at)) for c in ("id", "key")]
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array((first // BLOCK_WORDS).astype(np.int32)), pa.array(first), pa.array(data, pa.binary()), _lists(places, pa.int32()), _lists(prints, pa.int64())], ["id", "key", "block", "first", "words", "places", "hashes"])
+
+    return run
+
+
+def reference_text(blocks: list[bytes]) -> np.ndarray:
+    """Distinct blocks of hashed words, joined with a word between them that no text has."""
+    parts = []
+    for k, b in enumerate(sorted(set(blocks))):
+        parts += [np.frombuffer(b, np.uint64), _mixed(np.array([k * 2 + 1], np.uint64) * np.uint64(_R))]
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
@@ -179,112 +190,117 @@ def _longest(words: np.ndarray, i: int, reference: np.ndarray, places: np.ndarra
         done, step = done + step, min(step * 2, 4096)
 
 
+def duplicate_spans(words: np.ndarray, reference: np.ndarray, window: int) -> list[tuple[int, int]]:
+    """(start, end) of what windows of the reference cover: long factors, and windows across a factor's boundary.
+
+    A window that the reference has begins in a factor (its first words match) and lies in it or reaches over its end; so long factors and the
+    windows over ends are all. Of the latter only those whose hash the reference has are compared, word by word.
+    """
+    found = factors(words, reference)
+    spans = [(s, s + n) for s, n in found if n >= window]
+    starts = np.flatnonzero(np.isin(_Rolling(words, _Q).runs(window), hashes := _Rolling(reference, _Q).runs(window)))
+    over = starts[~np.isin(starts, np.concatenate([np.arange(s, e - window + 1) for s, e in spans] or [starts[:0]]))]
+    if len(over):
+        order = np.argsort(hashes, kind="stable")
+        own = _Rolling(words, _Q).runs(window)[over]
+        lo, hi = np.searchsorted(hashes[order], own, "left"), np.searchsorted(hashes[order], own, "right")
+        spans += [(int(i), int(i) + window) for i, a, b in zip(over, lo, hi) if _longest(words[: i + window], int(i), reference, order[a:b]) == window]
+    return spans
+
+
 def _parse(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch, "text", 2 << 20):
-                words, rows = word_hashes(*text_bytes(part.column("text")))
-                win_start, win_row, win_anchor, _ = window_anchors(words, rows, window)
-                win_hash = _Rolling(words, _Q).runs(window)
-                bounds = np.searchsorted(win_row, np.arange(part.num_rows + 1))
-                shared, blocks = part.column("anchors").to_pylist(), part.column("blocks").to_pylist()
-                spans, places, hashes = [], [], []
-                for i in range(part.num_rows):
-                    own = words[rows[i] : rows[i + 1]]
-                    n = max(len(own) - window + 1, 0)
-                    covered = np.zeros(n + 1, np.int64)
-                    mine = []
-                    for start, length in factors(own, reference_text(blocks[i])) if blocks[i] else []:
-                        if length >= window:
-                            mine += [start, start + length]
-                            covered[start] += 1
-                            covered[min(start + length - window + 1, n)] -= 1
-                    open_ = np.flatnonzero((np.cumsum(covered[:n]) == 0) & np.isin(win_anchor[bounds[i] : bounds[i + 1]], np.array(shared[i], np.int64).view(np.uint64)))
-                    spans.append(np.array(mine, np.int32))
-                    places.append(open_.astype(np.int32))
-                    hashes.append(win_hash[rows[i] + open_].view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("key"), *(_lists(x, t) for x, t in ((spans, pa.int32()), (places, pa.int32()), (hashes, pa.int64())))], ["id", "key", "spans", "places", "hashes"])
+            spans = []
+            for first, words, blocks in zip(*(batch.column(c).to_pylist() for c in ("first", "words", "blocks"))):
+                found = duplicate_spans(np.frombuffer(words, np.uint64), reference_text(blocks), window)
+                spans.append(np.array([first + x for span in found for x in span], np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), _lists(spans, pa.int32())], ["id", "key", "spans"])
 
     return run
 
 
 def _lists(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     ends = np.r_[0, np.cumsum([len(v) for v in values])].astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values), kind))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else [], kind))
+
+
+def cut_text(raw: bytes, begins: np.ndarray, ends: np.ndarray, edges: np.ndarray) -> bytes:
+    """A text without the words that the ranges (start, end, start, end, ...) name: each goes with the white space up to the next word, all other bytes stay."""
+    kept, at = [], 0
+    for s, e in edges.reshape(-1, 2).tolist():
+        kept.append(raw[at : begins[s]])
+        at = begins[e] if e < len(begins) else ends[e - 1]
+    return b"".join([*kept, raw[at:]])
 
 
 def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text"):
-                n_words, n_removed, texts, cuts = [], [], [], []
-                for text, spans, extra in zip(part.column("text"), part.column("spans").to_pylist(), part.column("extra").to_pylist()):
-                    words = text.as_buffer().to_pybytes().split()
-                    gone = np.zeros(len(words) + 1, np.int64)
-                    for s, e in zip((spans or [])[::2], (spans or [])[1::2]):
-                        gone[s] += 1
-                        gone[e] -= 1
-                    for s in extra or []:
-                        gone[s] += 1
-                        gone[s + window] -= 1
+                raw, rows = text_bytes(part.column("text"))
+                begins, ends = word_edges(raw, rows)
+                bound = np.searchsorted(begins, rows)
+                removed, cuts, texts, at = np.zeros(part.num_rows, np.int64), [np.zeros(0, np.int32)] * part.num_rows, [], 0
+                lists = part.column("spans")
+                for i in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)):
+                    spans = lists[i].values.to_numpy()
+                    n = bound[i + 1] - bound[i]
+                    gone = np.bincount(spans[::2], minlength=n + 1) - np.bincount(spans[1::2], minlength=n + 1)
                     drop = np.cumsum(gone[:-1]) > 0
-                    edges = np.flatnonzero(np.diff(np.r_[False, drop, False])).astype(np.int32)
-                    n_words.append(len(words)), n_removed.append(int(drop.sum())), cuts.append(edges)
-                    texts.append(b" ".join(compress(words, (~drop).tolist()) if len(edges) else words))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("rest"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string()), _lists(cuts, pa.int32())],
-                    ["id", "rest", "n_words", "n_removed", "kept_text", "spans"],
-                )
+                    removed[i], cuts[i] = drop.sum(), np.flatnonzero(np.diff(np.r_[False, drop, False])).astype(np.int32)
+                    own = slice(bound[i], bound[i + 1])
+                    fresh = cut_text(raw[rows[i] : rows[i + 1]].tobytes(), begins[own] - rows[i], ends[own] - rows[i], cuts[i])
+                    texts += [part.column("text").slice(at, i - at), pa.array([fresh], pa.binary()).cast(pa.string())]
+                    at = i + 1
+                text = pa.concat_arrays([*texts, part.column("text").slice(at)])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("rest"), pa.array(np.diff(bound)), pa.array(removed), text, _lists(cuts, pa.int32())], ["id", "rest", "n_words", "n_removed", "kept_text", "spans"])
 
     return run
 
 
-def duplicate_windows(rows: DataFrame, window: int) -> DataFrame:
-    """Rows of ``keyed`` -> (id, key, spans, extra): word ranges of long factors, and starts of further windows that an earlier document has."""
-    anchors = stored(rows.where("id IS NOT NULL").mapInArrow(_anchor_rows(window), "anchor long, id long, key long, at int"), "anchors")
-    first = (
-        anchors.groupBy("anchor")
-        .agg(F.min("id").alias("ref_id"), F.min_by("key", "id").alias("ref_key"), F.min_by("at", "id").alias("ref_at"), F.max("id").alias("last_id"))
-        .where("last_id > ref_id")
-        .drop("last_id")
-    )
-    hits = stored(anchors.join(first, "anchor"), "hits")
-    reach = window - ANCHOR_WORDS
-    lo = F.floor(F.greatest(F.col("ref_at") - reach, F.lit(0)) / BLOCK_WORDS).cast("int")
-    hi = F.floor((F.col("ref_at") + window - 1) / BLOCK_WORDS).cast("int")
-    wanted = hits.where("id > ref_id").select("id", "key", "ref_id", "ref_key", F.explode(F.sequence(lo, hi)).alias("block")).distinct()
-    texts = rows.where("id IS NOT NULL").dropDuplicates(["id", "key"])
-    needed = wanted.select("ref_id", "ref_key", "block").distinct().groupBy("ref_id", "ref_key").agg(F.collect_list("block").alias("blocks"))
-    sources = texts.join(needed.withColumnsRenamed({"ref_id": "id", "ref_key": "key"}), ["id", "key"])
-    blocks = sources.mapInArrow(_block_rows, "ref_id long, ref_key long, block int, words binary")
-    theirs = wanted.join(blocks, ["ref_id", "ref_key", "block"]).groupBy("id", "key").agg(F.collect_list(F.struct("ref_id", "ref_key", "block", "words")).alias("blocks"))
-    shared = hits.groupBy("id", "key").agg(F.collect_list("anchor").alias("anchors"))
-    parsed = texts.join(shared, ["id", "key"]).join(theirs, ["id", "key"], "left")
-    parsed = stored(parsed.mapInArrow(_parse(window), "id long, key long, spans array<int>, places array<int>, hashes array<long>"), "parsed")
-    open_ = parsed.select("id", "key", F.explode(F.arrays_zip("places", "hashes")).alias("w")).select("id", "key", F.col("w.places").alias("place"), F.col("w.hashes").alias("hash"))
-    repeated = open_.groupBy("hash").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id")).where("last_id > first_id").select("hash", "first_id")
-    repeated = stored(repeated, "repeated")  # read from a table, so that the join below can split the hash of a passage that very many documents share
-    extra = open_.join(repeated, "hash").where("id > first_id").groupBy("id", "key").agg(F.collect_list("place").alias("extra"))
-    return parsed.select("id", "key", "spans").join(extra, ["id", "key"], "left")
+def repeated_passages(rows: DataFrame, window: int) -> DataFrame:
+    """Rows of ``keyed`` -> (id, key, spans): word ranges (start, end, start, end, ...) that documents with a smaller id have; rows without any are left out.
+
+    Texts are shuffled once, to those rows that share an anchor; all else that moves are hashes and the words of blocks that share one.
+    """
+    doc, block = ["id", "key"], ["id", "key", "block"]
+    known = rows.where("id IS NOT NULL")
+    anchors = stored(known.mapInArrow(_anchor_rows(window), "anchor long, id long, key long"), "anchors")
+    # the aggregated sides of the joins are stored, so that the joins can split the key of a passage that very many documents share
+    shared = stored(anchors.groupBy("anchor").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first").select("anchor"), "shared")
+    theirs = anchors.join(shared, "anchor").groupBy(doc).agg(F.collect_set("anchor").alias("anchors"))
+    texts = known.dropDuplicates(doc).join(theirs, doc)
+    blocks = stored(texts.mapInArrow(_block_rows(window), "id long, key long, block int, first long, words binary, places array<int>, hashes array<long>"), "blocks")
+    windows = blocks.select(*block, F.explode("hashes").alias("hash"))
+    order = F.struct("id", "key", "block")
+    firsts = stored(windows.groupBy("hash").agg(F.min(order).alias("ref"), F.max("id").alias("last")).where("last > ref.id").select("hash", "ref"), "firsts")
+    wanted = windows.join(firsts, "hash").where("id > ref.id").select(*block, "ref").distinct()
+    source = blocks.select(*(F.col(c).alias(f"ref_{c}") for c in block), F.col("words").alias("ref_words"))
+    met = wanted.select(*block, *(F.col(f"ref.{c}").alias(f"ref_{c}") for c in block)).join(source, [f"ref_{c}" for c in block])
+    met = met.groupBy(block).agg(F.collect_list("ref_words").alias("blocks"))
+    parsed = blocks.select(*block, "first", "words").join(met, block).select("id", "key", "first", "words", "blocks")
+    spans = parsed.mapInArrow(_parse(window), "id long, key long, spans array<int>")
+    return spans.groupBy(doc).agg(F.flatten(F.collect_list("spans")).alias("spans")).where(F.size("spans") > 0)
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, carry: list[str] | None = None) -> DataFrame:
     """Documents -> (id, n_words, n_removed, text, spans): passages that a document with a smaller id has, removed.
 
     Words are maximal runs of other bytes than ASCII white space. Every word goes that a window of ``window`` consecutive
-    words covers whose word sequence also starts in a document with a smaller id; windows are judged on the input. text
-    joins the kept words by one space; spans are (start, end, start, end, ...) word positions of what went. Null texts
-    count as empty. Rows with a null id are kept whole and are no source for others; rows of one id are no sources for
-    each other, so equal rows give equal rows; an empty table gives an empty table. Other columns are left out, but those
-    in ``carry`` come as fields of the struct ``rest``.
+    words covers whose word sequence also starts in a document with a smaller id; windows are judged on the input. A word
+    goes with the white space behind it, up to the next word; all other bytes of the text stay, so a text without repeats comes back as it was. spans are
+    (start, end, start, end, ...) word positions of what went. Null texts stay null and have no words. Rows with a null id are kept whole and are no source
+    for others; rows of one id are no sources for each other, so equal rows give equal rows; an empty table gives an empty table. Other columns are left
+    out, but those in ``carry`` come as fields of the struct ``rest``.
     """
     if window <= ANCHOR_WORDS:
         raise ValueError(f"window must exceed {ANCHOR_WORDS} words")
     rest = F.struct(*(F.col(f"`{c}`") for c in carry or []), F.lit(True).alias("_")).alias("rest")
-    rows = keyed(docs, id_col, text_col)
-    spans = stored(duplicate_windows(rows, window), "spans")
-    whole = docs.select(rest, F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    spans = stored(repeated_passages(keyed(docs, id_col, text_col), window), "spans")
+    text = F.col(f"`{text_col}`")
+    whole = docs.select(rest, F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"))
     joined = whole.join(spans, ["id", "key"], "left")
     schema = T.StructType([T.StructField("id", T.LongType()), joined.schema["rest"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("spans", T.ArrayType(T.IntegerType()))])
-    out = joined.select("id", "text", "rest", "spans", "extra").mapInArrow(_kept(window), schema)
+    out = joined.select("id", "text", "rest", "spans").mapInArrow(_kept(window), schema)
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept_text").alias("text"), "spans", *(["rest"] if carry else []))

@@ -26,7 +26,9 @@ def test_stages_against_brute_force(spark):
     assert b.columns == columns and set(rows_b.doc_id) == {i for i in component if component[i] == i}
     c = fresh(spark, b, SF)
     rows_c = c.toPandas()
-    assert c.columns == columns and [(x[0], x[3]) for x in brute(list(zip(rows_b.doc_id, rows_b.text)), 50)] == sorted(zip(rows_c.doc_id, rows_c.text), key=str)
+    assert c.columns == columns and [(x[0], x[3]) for x in brute(list(zip(rows_b.doc_id, rows_b.text)), 50)] == sorted(((i, " ".join(t.split())) for i, t in zip(rows_c.doc_id, rows_c.text)), key=str)
+    same = {i for i, n in zip(rows_b.doc_id, rows_b.text) if n in set(rows_c.text)}
+    assert {x[0] for x in brute(list(zip(rows_b.doc_id, rows_b.text)), 50) if x[2] == 0} <= same  # without repeats: byte by byte as it was
     assert (rows_c.n_chars == rows_c.text.str.len()).all()
     pieces = packed(spark, c, SF).toPandas()
     assert set(pieces.doc_id) == set(rows_c.doc_id)
@@ -44,7 +46,11 @@ def test_stages_take_nulls_and_empty_tables(spark):
         for _, stage in corpus_pipeline.STAGES[1:-1]:
             docs = stage(spark, docs, SF)
             assert docs.columns == table.columns
-        assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= 0
+        left = sorted((r.doc_id is None, r.doc_id, r.text, r.n_chars) for r in docs.collect())
+        if table is rows:  # null and empty texts are one class, whose smallest id stays; nulls stay null
+            assert [x[1:] for x in left] == [(1, None, None), (None, "a b", 3)]
+        pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).toPandas()
+        assert len(pieces) == len(left)
 
 
 def test_every_operator_is_registered():

@@ -25,7 +25,7 @@ def brute(rows, window):
 
 def run(spark, rows, window):
     df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, anchor string")
-    return sorted(((r.doc_id, r.n_words, r.n_removed, r.text) for r in substring.substring_dedup(df, window=window).collect()), key=str)
+    return sorted(((r.doc_id, r.n_words, r.n_removed, b" ".join((r.text or "").encode().split()).decode()) for r in substring.substring_dedup(df, window=window).collect()), key=str)
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -83,3 +83,26 @@ def test_carried_columns(spark):
     df = spark.createDataFrame([(1, "a b", "src", None)], "doc_id long, text string, source string, key int")
     row = substring.substring_dedup(df, carry=["source", "key"]).first()
     assert (row.rest.source, row.rest.key, row.text) == ("src", None, "a b")
+
+
+def test_bytes_around_what_goes_stay(spark):
+    odd = "line one\n    indented line\n\nlast \u3000 é "
+    passage = "\n".join(f"w{i}" for i in range(60))
+    rows = [(1, odd), (2, f"head\t{passage}  \n tail\n"), (3, f"\tother \n{passage}\nend  here\n\n"), (4, None), (5, f" {passage}\n "), (3, f"x {passage}"), (3, "x  y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in substring.substring_dedup(df).collect()), key=repr)
+    assert got == sorted([(1, odd), (2, rows[1][1]), (3, "\tother \nend  here\n\n"), (4, None), (5, " \n "), (3, "x "), (3, "x  y")], key=repr)
+
+
+def test_factors_give_nearly_all_and_boundaries_the_rest():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 1 << 60, 300).astype(np.uint64), rng.integers(0, 1 << 60, 300).astype(np.uint64)
+    seam = np.concatenate([a[100:200], b[40:140]])
+    reference = substring.reference_text([a.tobytes(), b.tobytes(), np.concatenate([a[170:200], b[40:70]]).tobytes()])
+    covered = np.zeros(200, bool)
+    for s, e in substring.duplicate_spans(seam, reference, 50):
+        covered[s:e] = True
+    assert covered.all()
+    assert substring.duplicate_spans(seam, substring.reference_text([a[:120].tobytes()]), 50) == []
