@@ -30,7 +30,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that a document with a smaller id has go; n_chars is counted anew."""
+    """Passages of 50 words or more that a document with a smaller id has go, all other bytes stay; n_chars is counted anew (null where the text is null)."""
     out = substring.substring_dedup(docs, carry=[c for c in docs.columns if c not in ("doc_id", "text", "n_chars")])
     fresh = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long").alias("n_chars")}
     return out.select(*(fresh.get(c, F.col("rest").getField(c).alias(c)) for c in docs.columns))
