@@ -59,11 +59,19 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def modest_batches(docs: DataFrame) -> None:
+    """Lowers the session's bytes of an Arrow batch where they are Spark's default: a worker holds several copies of a batch of texts."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, "") == "67108864b":
+        conf.set(name, "8m")
+
+
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Columns ``id``, ``text`` (null: empty) and ``key`` only, whatever else the table holds.
 
     ``key`` tells rows apart that carry the same id, by their text; equal rows share it.
     """
+    modest_batches(docs)
     picked = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     return picked.withColumn("key", F.xxhash64("text"))
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustline.llm.common import keyed, ragged_index, text_bytes, text_slices
+from gustline.llm.common import keyed, modest_batches, ragged_index, text_bytes, text_slices
 
 #: Bytes that a filter sees, filters, bytes of a chunk, and by how much chunks start apart (so that they overlap).
 WIDTH, FILTERS, CHUNK, STRIDE = 6, 16, 256, 224
@@ -190,4 +190,5 @@ def keep_good(docs: DataFrame, net: Network, text_col: str = "text") -> DataFram
                 good = probabilities(net, *text_bytes(part.column(text_col)), pairs) >= 0.5
                 yield part.filter(pa.array(good))
 
+    modest_batches(docs)
     return docs.mapInArrow(run, docs.schema)
