@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -48,13 +49,27 @@ def _fingerprints(shingle_words: int):
     return run
 
 
-def bands(bits: int, max_bits: int) -> list[tuple[int, int]]:
-    """(first bit, width) of ``max_bits + 1`` bands: two values within the budget agree on one of them."""
-    n = max_bits + 1
+def bands(bits: int, max_bits: int, blocks: int | None = None) -> list[tuple[int, int]]:
+    """(first bit, width) of ``max_bits + 1`` blocks of bits, or of more: two values within the budget agree on one of them, or on as many as there are more."""
+    n = blocks or max_bits + 1
     edges = [bits * i // n for i in range(n + 1)]
     return [(edges[i], edges[i + 1] - edges[i]) for i in range(n)]
 
 
+def tries(max_bits: int, n: int, block: int, most: int = 3) -> list[tuple[list[tuple[int, int]], int]]:
+    """(order of the bits, as blocks; bits that are the top) of each trie that ``n`` fingerprints are joined in.
+
+    Two values within the budget agree on ``agree`` of ``max_bits + agree`` blocks, so in the trie that has these blocks first they share the top. The top is
+    made as deep as it takes for a bucket to hold about ``block`` of evenly spread values: more tries, with smaller buckets, where there are more values.
+    """
+    for agree in range(1, most + 2):
+        parts = bands(64, max_bits, max_bits + agree)
+        plan = [(list(top), sum(w for _, w in top)) for top in combinations(parts, agree)]
+        if n <= block << min(w for _, w in plan) or agree == most + 1:
+            return [(top + [p for p in parts if p not in top], width) for top, width in plan]
+    raise AssertionError
+
+
 def trie_links(values: np.ndarray, groups: np.ndarray, first_depth: int, max_bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of positions whose values differ in at most ``max_bits`` bits, by a self-join of binary tries.
 
@@ -147,20 +162,26 @@ class Forest:
         return every[root != every], root[root != every]
 
 
-def _trie_join(max_bits: int, plan: list[tuple[int, int]]):
+def _reordered(v: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
+    """Values with their blocks of bits in another order."""
+    out = np.zeros(len(v), np.uint64)
+    for s, w in order:
+        out = (out << np.uint64(w)) | ((v >> np.uint64(64 - s - w)) & np.uint64((1 << w) - 1))
+    return out
+
+
+def _trie_join(max_bits: int, plan: list[tuple[list[tuple[int, int]], int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [b for b in batches if b.num_rows]
         if not parts:
             return
         table = pa.Table.from_batches(parts)
         band, cell, fp = (table.column(c).to_numpy() for c in ("band", "cell", "fp"))
-        for b, (first, width) in enumerate(plan):
+        for b, (order_of_bits, width) in enumerate(plan):
             pick = band == b
             if not pick.any():
                 continue
-            v = fp[pick].view(np.uint64)
-            if first:
-                v = (v << np.uint64(first)) | (v >> np.uint64(64 - first))  # the band's bits come first
+            v = _reordered(fp[pick].view(np.uint64), order_of_bits)
             order = np.lexsort((v, cell[pick]))
             v, g = v[order], cell[pick][order]
             forest = Forest(len(v))
@@ -177,13 +198,21 @@ def _trie_join(max_bits: int, plan: list[tuple[int, int]]):
 def hamming_links(fps: DataFrame, max_bits: int = 4, block: int = BUCKET_BLOCK) -> DataFrame:
     """Distinct (fp long) -> links (a long, b long) that connect exactly what lies within ``max_bits`` bits.
 
-    Of ``max_bits + 1`` bands of bits, two fingerprints within the budget share one; the bits of that band are the top
-    of a binary trie, so each (band, value) is a subtrie that one task joins with itself. Buckets above ``block`` are
+    The fingerprints are joined in several binary tries, each with the bits in another order, so that two within the budget share the top of
+    one (see ``tries``); each (trie, top) is a subtrie that one task joins with itself. Buckets above ``block`` are
     joined as pairs of blocks, so none grows beyond two blocks in a task. Each task returns a spanning forest of its links, not all pairs.
     """
-    plan = bands(64, max_bits)
-    # the bits of each band, moved to the low end
-    cells = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", 64 - s - w).bitwiseAND(F.lit((1 << w) - 1)).alias("value")) for i, (s, w) in enumerate(plan)))
+    plan = tries(max_bits, fps.count(), block)
+
+    def top(order: list[tuple[int, int]], width: int):
+        value, taken = F.lit(0).cast("long"), 0
+        for s, w in order:
+            if taken < width:
+                value = F.shiftleft(value, w).bitwiseOR(F.shiftrightunsigned("fp", 64 - s - w).bitwiseAND(F.lit((1 << w) - 1).cast("long")))
+                taken += w
+        return value
+
+    cells = F.array(*(F.struct(F.lit(i).alias("band"), top(order, width).alias("value")) for i, (order, width) in enumerate(plan)))
     rows = fps.select("fp", F.explode(cells).alias("c")).select("fp", "c.band", "c.value")
     sizes = rows.groupBy("band", "value").count()
     large = sizes.where(F.col("count") > block).withColumn("k", F.ceil(F.col("count") / block).cast("int")).select("band", "value", "k")
