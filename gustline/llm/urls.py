@@ -72,23 +72,38 @@ def gram_ratios(grams: DataFrame) -> DataFrame:
     return below.select(F.col("tail").alias("gram"), (F.log("p_yes") - F.log("p_no")).alias("ratio"))
 
 
+def fold_of(url: Column) -> Column:
+    """0 or 1: the half that a URL belongs to when the threshold is calibrated."""
+    return F.pmod(F.xxhash64(url, F.lit(7)), F.lit(2))
+
+
 def score_urls(urls: DataFrame) -> DataFrame:
-    """(url, weight, verdict or null) of distinct URLs -> (url, verdict, weight, score): the length-normalised log-likelihood ratio."""
-    split = urls.select(F.xxhash64("url").alias("k1"), F.xxhash64("url", F.lit(1)).alias("k2"), "weight", "verdict", _characters(F.col("url")).alias("chars"))
-    tokens = split.select("k1", "k2", "weight", "verdict", F.explode(_grams("chars")).alias("gram"))
-    one = lambda what: F.sum(F.when(F.col("verdict") == what, F.col("weight")).otherwise(F.lit(0))).alias("yes" if what == "allow" else "no")
-    ratios = gram_ratios(cut(tokens.groupBy("gram").agg(one("allow"), one("block"))))
-    sums = tokens.select("k1", "k2", "gram").join(ratios, "gram").groupBy("k1", "k2").agg(F.round(F.avg("ratio"), 9).alias("score"))
+    """(url, weight, verdict or null) of distinct URLs -> (url, verdict, weight, score, held_score): length-normalised log-likelihood ratios, the first by the
+    models of all URLs with a verdict, the second by the models of those of the other half, which haven't seen the URL."""
+    n = int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    split = urls.select(F.xxhash64("url").alias("k1"), F.xxhash64("url", F.lit(1)).alias("k2"), fold_of(F.col("url")).alias("fold"), "weight", "verdict", _characters(F.col("url")).alias("chars"))
+    split = split.repartition(n, "k1")  # a URL is small and its grams are many, so AQE must not put many URLs into one task
+    tokens = split.select("k1", "k2", "fold", "weight", "verdict", F.explode(_grams("chars")).alias("gram"))
+    of = lambda what, fold: F.sum(F.when((F.col("verdict") == what) & (F.col("fold") == fold), F.col("weight")).otherwise(F.lit(0)))
+    counts = cut(tokens.groupBy("gram").agg(*(of(what, fold).alias(f"{name}{fold}") for what, name in (("allow", "yes"), ("block", "no")) for fold in (0, 1))))
+    every = lambda c: F.col(f"{c}0") + F.col(f"{c}1")
+    ratios = gram_ratios(counts.select("gram", every("yes").alias("yes"), every("no").alias("no")))
+    for fold in (0, 1):
+        other = gram_ratios(counts.select("gram", F.col(f"yes{1 - fold}").alias("yes"), F.col(f"no{1 - fold}").alias("no")))
+        ratios = ratios.join(other.withColumnRenamed("ratio", f"ratio{fold}"), "gram")
+    held = F.when(F.col("fold") == 0, F.col("ratio0")).otherwise(F.col("ratio1"))
+    sums = tokens.select("k1", "k2", "fold", "gram").join(cut(ratios), "gram").groupBy("k1", "k2").agg(F.round(F.avg("ratio"), 9).alias("score"), F.round(F.avg(held), 9).alias("held_score"))
     named = urls.select("url", "weight", "verdict", F.xxhash64("url").alias("k1"), F.xxhash64("url", F.lit(1)).alias("k2"))
-    return named.join(sums, ["k1", "k2"]).select("url", "weight", "verdict", "score")
+    return named.join(sums, ["k1", "k2"]).select("url", "weight", "verdict", "score", "held_score")
 
 
 def calibrated_threshold(scored: DataFrame) -> float:
-    """The score from which URLs are accepted: where the share of accepted URLs at or above it less that of rejected ones is greatest.
+    """The score from which URLs are accepted: where the share of accepted URLs at or above it less that of rejected ones is greatest, by scores of
+    models that haven't seen the URL.
 
     Scores are counted in bins (so at most a few thousand rows are ordered); of equal bins the one nearest to zero wins. Without both kinds of URLs it is zero.
     """
-    known = scored.where("verdict IS NOT NULL").withColumn("bin", F.floor(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), "score")) * BINS))
+    known = scored.where("verdict IS NOT NULL").withColumn("bin", F.floor(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), "held_score")) * BINS))
     sums = known.groupBy("bin").agg(*(F.sum(F.when(F.col("verdict") == v, F.col("weight")).otherwise(F.lit(0))).alias(v) for v in ("allow", "block")))
     above = Window.orderBy(F.desc("bin"))
     whole = Window.partitionBy(F.lit(0))
@@ -100,7 +115,7 @@ def calibrated_threshold(scored: DataFrame) -> float:
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """Pages -> (id, host, path, rule, verdict, score): the verdict of the longest rule that fits, else that of the language models.
 
-    URLs under a rule are what the two models learn from, and what calibrates the threshold; every page counts. Copies of a URL
+    URLs under a rule are what the two models learn from, and what calibrates the threshold, each half by models of the other; every page counts. Copies of a URL
     are scored once. A null URL is scored like an empty one; null ids and repeated rows stay; an empty table gives an empty table; other columns are ignored.
     """
     host, path = host_and_path(F.col("url"))

@@ -21,7 +21,7 @@ def rule_of(host, path):
     return max(fits)[1:] if fits else (None, None)
 
 
-def brute(pages):
+def brute(pages, learn_from=lambda url: True):
     """Rules, and two Witten-Bell models by the definition, in plain Python."""
     counts = {"allow": Counter(), "block": Counter()}
     parsed = []
@@ -29,7 +29,7 @@ def brute(pages):
         host, path = host_path(url)
         rule, verdict = rule_of(host, path)
         parsed.append((i, url or "", host, path, rule, verdict))
-        if verdict:
+        if verdict and learn_from(url or ""):
             s = "\x02" * 3 + (url or "") + "\x03"
             counts[verdict].update(s[k - 3 : k + 1] for k in range(3, len(s)))
     tables = {}
@@ -75,6 +75,18 @@ def test_against_brute_force(spark):
         assert (r.host, r.path, r.rule) == (host, path, rule), i
         assert verdict is None or r.verdict == verdict
         assert abs(r.score - score) < 1e-6
+    folds = {r.url: r.fold for r in table.selectExpr("coalesce(url, '') AS url").distinct().select("url", urls.fold_of(urls.F.col("url")).alias("fold")).collect()}
+    text = {i: u or "" for i, u in pages}
+    held = {}
+    for fold in (0, 1):
+        held.update({i: x[4] for i, x in brute(pages, lambda u: folds[u] != fold).items() if folds[text[i]] == fold})
+    known = [(math.floor(round(held[i], 9) * urls.BINS), want[i][3]) for i in want if want[i][3]]
+    n = Counter(v for _, v in known)
+    gain = {b: sum(1 for x, v in known if v == "allow" and x >= b) / n["allow"] - sum(1 for x, v in known if v == "block" and x >= b) / n["block"] for b in {x for x, _ in known}}
+    threshold = min(gain, key=lambda b: (-round(gain[b], 12), abs(b))) / urls.BINS
+    for i, x in want.items():
+        if x[3] is None and abs(x[4] - threshold) > 1e-6:
+            assert got[i].verdict == ("allow" if x[4] >= threshold else "block")
     free = [(r.score, r.verdict) for r in got.values() if r.rule is None]
     assert max((s for s, v in free if v == "block"), default=-99) < min((s for s, v in free if v == "allow"), default=99)
 
