@@ -8,15 +8,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gustline.llm.common import cut, shared_dir, stored
 from gustline.llm.components import connected_components
 from gustline.llm.simhash import Forest
 
-#: Trees; rows of the bounded sample that splits are fitted on; expected rows of a leaf; random directions tried for a split.
-TREES, SAMPLE_ROWS, LEAF_ROWS, TRIED = 4, 20_000, 400, 8
-#: Rows of a leaf that one task compares; larger leaves are compared as pairs of blocks.
-LEAF_BLOCK = 1024
+#: Trees; rows of the bounded sample that splits are fitted on; expected rows of a leaf before spill; random directions tried for a split.
+TREES, SAMPLE_ROWS, LEAF_ROWS, TRIED = 8, 20_000, 300, 8
+#: Rows of a leaf that one task compares; larger leaves are split again, and where that doesn't part them, compared as pairs of blocks.
+LEAF_BLOCK = 4096
 
 
 class Tree:
@@ -82,7 +83,7 @@ def _deal(trees: list[Tree], dim: int):
                     r, leaf = tree.leaves(x)
                     rows.append(r), codes.append(leaf + base)
                     base += len(tree.left)
-                row, code = np.concatenate(rows), np.concatenate(codes).astype(np.int32)
+                row, code = np.concatenate(rows), np.concatenate(codes).astype(np.int64)
                 order = np.lexsort((code, row))
                 row, code = row[order], code[order]
                 ends = np.r_[0, np.cumsum(np.bincount(row, minlength=part.num_rows))].astype(np.int32)
@@ -110,10 +111,15 @@ def _compare(dim: int, threshold: float):
         np.bitwise_or.at(earlier, (owner[before], col >> 3), (1 << (col & 7)).astype(np.uint8))
         links = np.zeros(len(rep), np.int64)
         forest = Forest(len(rep))
+        narrow, slack = x.astype(np.float32), 2e-7 * (dim + 16)  # float32 tells all but the closest cases
         for at in range(0, len(rep), 256):
-            i, j = np.nonzero(x[at : at + 256] @ x.T >= threshold)
-            i += at
-            ok = i < j
+            s = narrow[at : at + 256] @ narrow[at:].T
+            i, j = np.nonzero(s >= threshold - slack)
+            near = np.flatnonzero(s[i, j] < threshold + slack)
+            i, j = i + at, j + at
+            exact = np.ones(len(i), bool)
+            exact[near] = np.einsum("ij,ij->i", x[i[near]], x[j[near]]) >= threshold
+            ok = exact & (i < j)
             if mine != other:
                 ok &= block[i] != block[j]  # pairs within a block are compared with that block alone
             i, j = i[ok], j[ok]
@@ -137,20 +143,69 @@ def _compare(dim: int, threshold: float):
     return run
 
 
+def spill_of(dim: int, threshold: float) -> float:
+    return 0.25 * np.sqrt(max(2 - 2 * threshold, 0) / dim)
+
+
 def fit_forest(points: DataFrame, dim: int, rows: int, threshold: float, trees: int = TREES, sample_rows: int = SAMPLE_ROWS, leaf_rows: int = LEAF_ROWS, seed: int = 11) -> list[Tree]:
     """Trees on at most ``sample_rows`` vectors, those with the smallest hash of their id. Two vectors at the threshold lie at most
-    sqrt(2 - 2 threshold) apart, so along a random direction they differ by about that over sqrt(dim); half of it is the spill."""
+    sqrt(2 - 2 threshold) apart, so along a random direction they differ by about that over sqrt(dim); a quarter of it is the spill."""
     sample = points.select("rep", "v").orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).toArrow()
     x = unit(sample.column("v").combine_chunks(), dim) if sample.num_rows else np.zeros((0, dim))
-    spill = 0.5 * np.sqrt(max(2 - 2 * threshold, 0) / dim)
+    spill = spill_of(dim, threshold)
     leaf = max(8, leaf_rows * len(x) // max(rows, 1))
     return [Tree(x, leaf, spill, np.random.default_rng([seed, t])) for t in range(trees)]
 
 
+def _projected(dim: int, level: int):
+    """Adds where each vector lies along a random direction of its leaf."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, x = batch.column("code").to_numpy(), unit(batch.column("v"), dim)
+            at = np.zeros(len(code))
+            for c in np.unique(code):
+                d = np.random.default_rng([int(c) & (1 << 63) - 1, level]).normal(size=dim)
+                at[code == c] = x[code == c] @ (d / np.linalg.norm(d))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at)], [*batch.schema.names, "at"])
+
+    return run
+
+
+def split_leaves(dealt: DataFrame, dim: int, spill: float, block: int | None = None, levels: int = 24) -> DataFrame:
+    """(code, rep, copies, v): leaves above ``block`` rows split at the median of a direction of their own, with spill, until they are small or don't part.
+
+    A sample of bounded size can't fit leaves that are small however many rows there are; here every large leaf is split by all its own rows,
+    all leaves at once, a level a round. A leaf whose rows lie within the spill of each other (near copies) stays whole.
+    """
+    block = block or LEAF_BLOCK
+    done = None
+    for level in range(levels):
+        sizes = dealt.groupBy("code").count().where(F.col("count") > block)
+        if sizes.isEmpty():
+            break
+        small = dealt.join(sizes, "code", "left_anti")
+        done = small if done is None else done.unionByName(small)
+        open_ = dealt.join(sizes.select("code"), "code", "left_semi").mapInArrow(_projected(dim, level), T.StructType([*dealt.schema.fields, T.StructField("at", T.DoubleType())]))
+        middle = cut(open_.groupBy("code").agg(F.percentile_approx("at", 0.5, 1000).alias("middle"), F.stddev_pop("at").alias("spread")))
+        sides = F.filter(F.array(F.when(F.col("at") < F.col("middle") + spill, 0), F.when(F.col("at") >= F.col("middle") - spill, 1)), lambda x: x.isNotNull())
+        parts = F.col("spread") > 2 * spill
+        placed = open_.join(middle, "code").withColumn("side", F.explode(F.when(parts, sides).otherwise(F.array(F.lit(-1)))))
+        code = F.when(F.col("side") >= 0, F.xxhash64("code", "side")).otherwise(F.col("code"))
+        placed = stored(placed.select(code.alias("code"), "rep", "copies", "v", (F.col("side") < 0).alias("dense")), "split")
+        dense = placed.where("dense").drop("dense")
+        done, dealt = done.unionByName(dense), placed.where("NOT dense").drop("dense")
+    return dealt if done is None else done.unionByName(dealt)
+
+
 def _links(points: DataFrame, dim: int, threshold: float, trees: list[Tree]) -> DataFrame:
     kind = points.schema["v"].dataType.simpleString()
-    dealt = points.mapInArrow(_deal(trees, dim), f"code int, rep long, copies long, v {kind}, codes array<int>")
+    dealt = points.mapInArrow(_deal(trees, dim), f"code long, rep long, copies long, v {kind}, codes array<long>")
     dealt = stored(dealt, "leaves")
+    if not dealt.groupBy("code").count().where(F.col("count") > LEAF_BLOCK).isEmpty():
+        dealt = split_leaves(dealt.drop("codes"), dim, 2 * spill_of(dim, threshold))
+        codes = stored(dealt.groupBy("rep").agg(F.array_sort(F.collect_set("code")).alias("codes")), "codes")
+        dealt = stored(dealt.join(codes, "rep").select("code", "rep", "copies", "v", "codes"), "leaves")
     large = dealt.groupBy("code").count().where(F.col("count") > LEAF_BLOCK).select("code", F.ceil(F.col("count") / LEAF_BLOCK).cast("int").alias("k"))
     rows = dealt.join(large, "code", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("k")).cast("int"))
