@@ -62,7 +62,7 @@ def text_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def modest_batches(docs: DataFrame) -> None:
     """Lowers the session's bytes of an Arrow batch where they are Spark's default: a worker holds several copies of a batch of texts."""
     conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(name, "") == "67108864b":
+    if conf.get(name) == "67108864b":
         conf.set(name, "8m")
 
 
