@@ -102,3 +102,9 @@ def implied_decimal(text: Column, whole: int) -> Column:
 def fingerprint(*columns: Column) -> Column:
     """SHA-256 over the columns as text with separators; null differs from empty."""
     return F.sha2(F.concat_ws("|", *(F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("~")) for c in columns)), 256)
+
+
+def date_guard(t: Column, first: str, last: str, availability: Column) -> Column:
+    """Why a time can't be asked for: before the first day, behind the last, or an availability outside 0 to 1; else ok."""
+    day = lambda d: F.lit(d).cast("timestamp_ntz")
+    return F.when(t < day(first), "too_early").when(t > day(last), "in_future").when(~F.coalesce(availability.between(0, 1), F.lit(False)), "availability").otherwise("ok")

@@ -81,6 +81,16 @@ def bounded(base: Column, change: Column, wind: Column, capacity: Column, availa
     return F.when((wind < CUT_IN) | (wind >= CUT_OUT), 0.0).otherwise(inside)
 
 
+def capacity_factors(target: Column, base: Column, capacity: Column) -> tuple[Column, Column]:
+    """(residual, target) as shares of capacity; null where that is zero."""
+    return (target - base) / F.nullif(capacity, F.lit(0.0)), target / F.nullif(capacity, F.lit(0.0))
+
+
+def scaled(base: Column, correction: Column, scale: float, wind: Column, capacity: Column, availability: Column) -> Column:
+    """base plus a scaled correction in shares of capacity, within bounds."""
+    return bounded(base, correction * scale * capacity, wind, capacity, availability)
+
+
 def physical(wind: Column, capacity: Column, availability: Column) -> Column:
     """Whether inputs are finite and possible; null counts as no."""
     known = ~F.isnan(wind) & ~F.isnan(capacity) & ~F.isnan(availability)

@@ -34,15 +34,24 @@ def coverage_audit(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFr
 
 
 def capacity_by_validity(rows: DataFrame, members: DataFrame, keys: list[str], time: str, member: str, capacity: str) -> DataFrame:
-    """Sums by key and time of the capacity of members that are active then; a member counts once.
+    """(keys, time, capacity, members): sums of the capacity of members that are active then; a member counts once (the largest of its active relations).
 
-    An equi-join on the keys with the interval as its residual condition, after times are made distinct; the sum of a key's members is
-    partial before it is shuffled.
+    Linear, whatever the number of members and times: relations become changes of capacity at their first moment and behind their last day, changes are
+    summed by key and moment before they meet, and one running sum by key answers every distinct time.
     """
-    t = rows.select(*keys, time).distinct()
-    joined = t.join(members, keys).where(S.active_at(F.col(time), F.col("start"), F.col("end")))
-    once = joined.groupBy(*keys, time, member).agg(F.max(capacity).alias(capacity))
-    return once.groupBy(*keys, time).agg(F.sum(capacity).alias(capacity), F.count("*").alias("members"))
+    always, never = (F.lit(t).cast("timestamp_ntz") for t in ("0001-01-01", "9999-12-31"))
+    spans = members.select(*keys, member, F.coalesce(F.col(capacity), F.lit(0.0)).alias("_c"), F.coalesce(F.col("start").cast("timestamp_ntz"), always).alias("_a"), F.coalesce(F.col("end").cast("timestamp_ntz") + F.make_dt_interval(F.lit(1)), never).alias("_z")).where("_a < _z").distinct()
+    edges = spans.select(*keys, member, F.explode(F.array("_a", "_z")).alias("_t")).distinct()
+    held = edges.join(spans, [*keys, member], "left").groupBy(*keys, member, "_t").agg(F.max(F.when((F.col("_a") <= F.col("_t")) & (F.col("_t") < F.col("_z")), F.col("_c"))).alias("_c"))
+    before = Window.partitionBy(*keys, member).orderBy("_t")
+    now, then = (lambda x: F.coalesce(x, F.lit(0.0))), (lambda x: F.coalesce(F.lag(x).over(before), F.lit(0.0)))
+    there = F.col("_c").isNotNull().cast("double")
+    changes = held.withColumns({"_d": now(F.col("_c")) - then(F.col("_c")), "_n": there - then(there)}).groupBy(*keys, "_t").agg(F.sum("_d").alias("_d"), F.sum("_n").alias("_n"))
+    asked = rows.select(*keys, F.col(time).alias("_t")).distinct()
+    both = changes.withColumn("_asked", F.lit(False)).unionByName(asked.withColumns({"_d": F.lit(0.0), "_n": F.lit(0.0), "_asked": F.lit(True)}))
+    upto = Window.partitionBy(*keys).orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    running = both.withColumns({capacity: F.sum("_d").over(upto), "members": F.round(F.sum("_n").over(upto)).cast("long")})
+    return running.where("_asked AND members > 0").select(*keys, F.col("_t").alias(time), capacity, "members")
 
 
 def priority_match(rows: DataFrame, registry: DataFrame, key: str, steps: list[tuple[str, Column, Column]]) -> DataFrame:
@@ -96,6 +105,13 @@ def expected_hours(blocks: DataFrame, segments: DataFrame) -> DataFrame:
     return blocks.join(segments, (F.col("valid_from") < F.col("block_end")) & (F.col("valid_to") > F.col("block_start"))).groupBy("block").agg(F.sum(hours).alias("hours"))
 
 
+def among(rows: DataFrame, wanted: DataFrame, key: str, small: int = 100_000) -> DataFrame:
+    """Rows whose key is wanted; the keys are broadcast where a count shows at most ``small`` of them, else joined by a shuffle."""
+    keys = wanted.select(key).distinct()
+    keys = F.broadcast(keys) if keys.limit(small + 1).count() <= small else keys
+    return rows.join(keys, key, "left_semi")
+
+
 def union_all(tables: list[DataFrame]) -> DataFrame:
     """All rows; columns that a table lacks are null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
