@@ -108,3 +108,26 @@ def date_guard(t: Column, first: str, last: str, availability: Column) -> Column
     """Why a time can't be asked for: before the first day, behind the last, or an availability outside 0 to 1; else ok."""
     day = lambda d: F.lit(d).cast("timestamp_ntz")
     return F.when(t < day(first), "too_early").when(t > day(last), "in_future").when(~F.coalesce(availability.between(0, 1), F.lit(False)), "availability").otherwise("ok")
+
+
+def unmarked(text: Column) -> Column:
+    """Without marks on letters, case as it was."""
+    return F.translate(text, MARKED, FOLDED)
+
+
+def plain_number(text: Column) -> Column:
+    """Trimmed text as a finite number, else null."""
+    return finite(F.trim(text).try_cast("double"))
+
+
+def implied_number(text: Column, whole: int) -> Column:
+    """A field with a point implied after its first ``whole`` characters; with a point or an exponent, and the marks 99999 and -9999, it is read as it is."""
+    trimmed = F.trim(text)
+    spelt = F.contains(trimmed, F.lit(".")) | F.contains(F.upper(trimmed), F.lit("E")) | trimmed.isin("99999", "-9999")
+    implied = F.concat(F.substring(text, 1, whole), F.lit("."), F.substring(text, whole + 1, 32))
+    return F.when(trimmed != "", F.when(spelt, plain_number(text)).otherwise(plain_number(implied)))
+
+
+def year_in(text: Column, pattern: str) -> Column:
+    """The year (19xx or 20xx) that the pattern's first group finds, else null."""
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("int")

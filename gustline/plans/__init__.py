@@ -1,6 +1,6 @@
 """Queries over the star-schema tables: each shows operators on them, next to the SQL that must give the same rows."""
 
-from gustline.plans import catalog, metric, panel, prepare, split
+from gustline.plans import casefile, catalog, metric, panel, prepare, split
 from gustline.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "catalog", "metric", "panel", "prepare", "split"]
+__all__ = ["QUERIES", "SQL", "casefile", "catalog", "metric", "panel", "prepare", "split"]

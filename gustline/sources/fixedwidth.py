@@ -26,12 +26,12 @@ def split_lines(files: DataFrame, name: str, body: str) -> DataFrame:
 
 
 def block_records(lines: DataFrame, name: str, codes: list[str]) -> DataFrame:
-    """Lines inside blocks, with ``block``: from a line that is a code up to the end mark; blank lines and comments in ( go."""
-    word = F.trim("text")
-    mark = F.when(word.isin(codes), word).when(word == BLOCK_END, F.lit(""))
+    """Lines inside blocks, with ``block``: from a line that begins with a code up to the end mark; blank lines and comments, which begin with (, go."""
+    code = F.regexp_extract("text", f"^({'|'.join(codes)})(?:\\s|$)", 1)
+    mark = F.when(code != "", code).when(F.col("text").startswith(BLOCK_END), F.lit(""))
     state = F.last(mark, ignorenulls=True).over(Window.partitionBy(name).orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    inside = lines.withColumn("block", state).where((F.col("block") != "") & mark.isNull())
-    return inside.where((word != "") & ~word.startswith("("))
+    inside = lines.withColumns({"block": state, "_mark": mark}).where("block <> '' AND _mark IS NULL").drop("_mark")
+    return inside.where((F.trim("text") != "") & ~F.col("text").startswith("("))
 
 
 def field(text: Column, start: int, width: int) -> Column:
