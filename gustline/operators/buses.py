@@ -31,3 +31,15 @@ def require_one_state(rows: DataFrame, bus: str, state: str) -> DataFrame:
     if not rows.groupBy(bus).agg(F.count_distinct(state).alias("n")).where("n > 1").isEmpty():
         raise ContractError(f"a {bus} has several values of {state}")
     return rows
+
+
+def mapping_coverage(members: DataFrame, plant: str, bus: str, capacity: str) -> DataFrame:
+    """(plant, coverage, buses): the percentage of a plant's capacity that has a bus."""
+    mapped = F.sum(F.when(F.col(bus).isNotNull(), F.col(capacity)).otherwise(F.lit(0.0)))
+    return members.groupBy(plant).agg((ratio(mapped, F.sum(capacity)) * 100).alias("coverage"), F.count_distinct(bus).alias("buses"))
+
+
+def bus_states(rows: DataFrame, bus: str, value: str, state: str) -> DataFrame:
+    """(bus, value, consistent, state): sums by bus, and the state where all its rows have the same."""
+    one = F.min(state) == F.max(state)
+    return rows.groupBy(bus).agg(F.sum(value).alias(value), F.coalesce(one, F.lit(False)).alias("consistent"), F.when(one, F.min(state)).alias(state))

@@ -129,6 +129,17 @@ def weighted_mean(x: Column, w: Column) -> Column:
     return F.sum(F.when(ok, x * w)) / F.nullif(F.sum(F.when(ok, w)), F.lit(0.0))
 
 
+def first_known(value: Column, order: Column) -> Column:
+    """The first value that is not null, by an order."""
+    return F.min_by(value, F.when(value.isNotNull(), order))
+
+
+def weighted_hours(rows: DataFrame, keys: list[str], values: list[str], weight: str, order: str) -> DataFrame:
+    """Weighted means of several columns by key, with the first member, the largest weight and the number of different ones."""
+    means = [weighted_mean(F.col(v), F.col(weight)).alias(v) for v in values]
+    return rows.groupBy(*keys).agg(*means, F.min(order).alias("first_member"), F.max(weight).alias("most"), F.count_distinct(weight).alias("members"))
+
+
 def snapped_bounds(lat: Column, lon: Column, margin: float = 0.25, step: float = 0.25) -> list[Column]:
     """North, west, south, east with a margin, snapped outward to a grid."""
     up, down = lambda x: F.ceil((x + margin) / step).cast("double") * step, lambda x: F.floor((x - margin) / step).cast("double") * step
