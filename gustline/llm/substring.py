@@ -1,11 +1,11 @@
-"""Substring dedup: documents are parsed greedily against the reference blocks in which their windows occur first.
+"""Substring dedup: documents are parsed greedily against the reference blocks in which their windows occur before.
 
 A relative Lempel-Ziv parse needs the blocks in which a document's text may recur. An index of all blocks finds them in two steps. Anchors: of
 every window of ``window`` words the word sequence with the smallest hash; equal windows have equal anchors, so only windows whose anchor more than
-one document has go on. Windows: the hash of each of these leads to the block of the first document that has it. Then every
+one document has go on. Windows: the hash of each of these leads to the block of an earlier document that has it. Then every
 block of a document is factored against the blocks that its windows lead to: factors of at least ``window`` words become
 duplicate spans, and at each factor's boundary the windows across it are compared with the reference too. What goes is decided by words alone, never by a hash of
-windows; a window could only be missed where two different ones share a 64-bit hash.
+windows; a window could only be missed where two different ones share a 64-bit hash. Of equal texts only the one with the smallest id is parsed.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from gustline.llm.common import keyed, ragged_index, stored, text_bytes, text_sl
 
 #: Words of an anchor; windows of ``window`` words hold ``window - ANCHOR_WORDS + 1`` of them.
 ANCHOR_WORDS = 10
-#: Words of a reference block.
-BLOCK_WORDS = 512
+#: Words of a reference block; windows whose hashes one task compares.
+BLOCK_WORDS, BUCKET_WINDOWS = 512, 400_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -67,12 +67,12 @@ def word_edges(raw: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, np.flatnonzero(solid[1:-1] & (edge[1:] | ~solid[2:])) + 1
 
 
-def word_hashes(raw: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, rows: np.ndarray, edges: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and row offsets -> a 64-bit hash of every word, and the offsets of the rows' words."""
     n = len(raw)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(rows), np.int64)
-    starts, ends = word_edges(raw, rows)
+    starts, ends = edges or word_edges(raw, rows)
     sums = np.r_[np.uint64(0), np.cumsum(_BYTE[raw] * _powers(_R, n))]
     hashes = _mixed((sums[ends] - sums[starts]) * _powers(pow(_R, -1, 1 << 64), n)[starts] + (ends - starts).astype(np.uint64))
     return hashes, np.searchsorted(starts, rows)
@@ -117,36 +117,93 @@ def _anchor_rows(window: int):
 
 
 def _block_rows(window: int):
-    """Blocks of documents with windows whose anchor is shared: the words that these windows cover, where the windows begin, and their hashes."""
+    """Blocks of documents with windows whose anchor is shared: the text that these windows cover, which of its words it begins with, and in it the ranges of the
+    words that these windows begin with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "text", 2 << 20):
-                words, rows = word_hashes(*text_bytes(part.column("text")))
+                raw, offsets = text_bytes(part.column("text"))
+                begins, ends = word_edges(raw, offsets)
+                words, rows = word_hashes(raw, offsets, (begins, ends))
                 starts, row, value = window_anchors(words, rows, window)
-                hashes = _Rolling(words, _Q).runs(window)
                 bounds = np.searchsorted(row, np.arange(part.num_rows + 1))
-                at, firsts, data, places, prints = [], [], [], [], []
+                at, firsts, data, lows, highs = [], [], [], [], []
                 for i, shared in enumerate(part.column("anchors")):
                     own = slice(bounds[i], bounds[i + 1])
                     mine = starts[own][np.isin(value[own], shared.values.to_numpy().view(np.uint64))]
                     for some in np.split(mine, np.flatnonzero(np.diff((mine - rows[i]) // BLOCK_WORDS)) + 1):
                         if len(some):
-                            at.append(i), firsts.append(some[0] - rows[i]), data.append(words[some[0] : some[-1] + window].tobytes())
-                            places.append((some - some[0]).astype(np.int32)), prints.append(hashes[some].view(np.int64))
+                            fresh = np.flatnonzero(np.diff(some) > 1) + 1
+                            at.append(i), firsts.append(some[0] - rows[i]), data.append(raw[begins[some[0]] : ends[some[-1] + window - 1]].tobytes())
+                            lows.append((some[np.r_[0, fresh]] - some[0]).astype(np.int32)), highs.append((some[np.r_[fresh - 1, len(some) - 1]] - some[0] + 1).astype(np.int32))
                 if at:
-                    first = np.array(firsts, np.int64)
                     ids = [part.column(c).take(pa.array(at)) for c in ("id", "key")]
-                    yield pa.RecordBatch.from_arrays([*ids, pa.array((first // BLOCK_WORDS).astype(np.int32)), pa.array(first), pa.array(data, pa.binary()), _lists(places, pa.int32()), _lists(prints, pa.int64())], ["id", "key", "block", "first", "words", "places", "hashes"])
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array(firsts, pa.int64()), pa.array(data, pa.binary()), _lists(lows, pa.int32()), _lists(highs, pa.int32())], ["id", "key", "first", "words", "lows", "highs"])
+
+    return run
+
+
+def _earlier(hashes: np.ndarray, ids: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the first document that has each hash, and for all later ones (block, block of the first)."""
+    order = np.lexsort((blocks, ids, hashes))
+    h, i, b = hashes[order], ids[order], blocks[order]
+    fresh = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
+    first = np.flatnonzero(fresh)[np.cumsum(fresh) - 1] if len(h) else np.zeros(0, np.int64)
+    later = i > i[first]
+    keep = ~later & np.r_[True, (h[1:] != h[:-1]) | (b[1:] != b[:-1])] if len(h) else later
+    return order[keep], np.unique(np.stack([b[later], b[first][later]], axis=1), axis=0)
+
+
+def _window_hashes(window: int, buckets: int):
+    """Blocks -> rows (bucket, b, id, hashes, refs): hashes of windows, dealt by hash, of the first document of each batch that has them; for the later ones its block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, "words", 4 << 20):
+                words, rows = word_hashes(*text_bytes(part.column("words")))
+                every = _Rolling(words, _Q).runs(window)
+                lows, highs = part.column("lows"), part.column("highs")
+                row = np.repeat(np.arange(part.num_rows), lows.value_lengths().to_numpy())
+                low = lows.flatten().to_numpy()
+                size = highs.flatten().to_numpy() - low
+                hashes, owner = every[ragged_index(rows[row] + low, size)], np.repeat(row, size)
+                b, ids = part.column("b").to_numpy(), part.column("id").to_numpy()
+                kept, pairs = _earlier(hashes, ids[owner], b[owner])
+                hashes, owner = hashes[kept], owner[kept]
+                bucket = (hashes >> np.uint64(33)).astype(np.int64) * buckets >> 31
+                order = np.lexsort((bucket, owner))
+                hashes, owner, bucket = hashes[order], owner[order], bucket[order]
+                cut = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])]) if len(owner) else np.zeros(0, np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[cut, len(hashes)].astype(np.int32)), pa.array(hashes.view(np.int64)))
+                none = pa.ListArray.from_arrays(pa.array(np.zeros(len(cut) + 1, np.int32)), pa.array([], pa.int64()))
+                names = ["bucket", "b", "id", "hashes", "refs"]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[cut].astype(np.int32)), pa.array(b[owner[cut]]), pa.array(ids[owner[cut]]), lists, none], names)
+                if len(pairs):
+                    own, cut = np.unique(pairs[:, 0], return_index=True)
+                    refs = pa.ListArray.from_arrays(pa.array(np.r_[cut, len(pairs)].astype(np.int32)), pa.array(pairs[:, 1]))
+                    none = pa.ListArray.from_arrays(pa.array(np.zeros(len(own) + 1, np.int32)), pa.array([], pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array((own % buckets).astype(np.int32)), pa.array(own), pa.array(own * 0), none, refs], names)
 
     return run
 
 
-def reference_text(blocks: list[bytes]) -> np.ndarray:
-    """Distinct blocks of hashed words, joined with a word between them that no text has."""
+def _pairs_of(table: pa.Table) -> pa.Table:
+    """A bucket of hashes -> (b, ref): blocks with a window that the other, of a document with a smaller id, has too."""
+    b, ids = table.column("b").to_numpy(), table.column("id").to_numpy()
+    hashes, refs = (table.column(c).combine_chunks() for c in ("hashes", "refs"))
+    owner = np.repeat(np.arange(len(b)), hashes.value_lengths().to_numpy())
+    _, pairs = _earlier(hashes.flatten().to_numpy().view(np.uint64), ids[owner], b[owner])
+    known = np.stack([np.repeat(b, refs.value_lengths().to_numpy()), refs.flatten().to_numpy()], axis=1)
+    every = np.unique(np.concatenate([pairs.reshape(-1, 2), known]), axis=0)
+    return pa.table({"b": pa.array(every[:, 0], pa.int64()), "ref": pa.array(every[:, 1], pa.int64())})
+
+
+def reference_text(blocks: list[np.ndarray]) -> np.ndarray:
+    """Blocks of hashed words, joined with a word between them that no text has."""
     parts = []
-    for k, b in enumerate(sorted(set(blocks))):
-        parts += [np.frombuffer(b, np.uint64), _mixed(np.array([k * 2 + 1], np.uint64) * np.uint64(_R))]
+    for k, b in enumerate(blocks):
+        parts += [b, _mixed(np.array([k * 2 + 1], np.uint64) * np.uint64(_R))]
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
@@ -208,12 +265,16 @@ def duplicate_spans(words: np.ndarray, reference: np.ndarray, window: int) -> li
     return spans
 
 
+def _hashed(text: bytes) -> np.ndarray:
+    return word_hashes(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
+
+
 def _parse(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = []
             for first, words, blocks in zip(*(batch.column(c).to_pylist() for c in ("first", "words", "blocks"))):
-                found = duplicate_spans(np.frombuffer(words, np.uint64), reference_text(blocks), window)
+                found = duplicate_spans(_hashed(words), reference_text([_hashed(b) for b in sorted(set(blocks))]), window)
                 spans.append(np.array([first + x for span in found for x in span], np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), _lists(spans, pa.int32())], ["id", "key", "spans"])
 
@@ -242,10 +303,12 @@ def _kept(window: int):
                 begins, ends = word_edges(raw, rows)
                 bound = np.searchsorted(begins, rows)
                 removed, cuts, texts, at = np.zeros(part.num_rows, np.int64), [np.zeros(0, np.int32)] * part.num_rows, [], 0
-                lists = part.column("spans")
-                for i in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)):
-                    spans = lists[i].values.to_numpy()
+                lists, whole = part.column("spans"), part.column("whole").fill_null(False).to_numpy(zero_copy_only=False)
+                for i in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False) | whole):
                     n = bound[i + 1] - bound[i]
+                    if whole[i] and n < window:
+                        continue
+                    spans = np.array([0, n]) if whole[i] else lists[i].values.to_numpy()
                     gone = np.bincount(spans[::2], minlength=n + 1) - np.bincount(spans[1::2], minlength=n + 1)
                     drop = np.cumsum(gone[:-1]) > 0
                     removed[i], cuts[i] = drop.sum(), np.flatnonzero(np.diff(np.r_[False, drop, False])).astype(np.int32)
@@ -260,28 +323,31 @@ def _kept(window: int):
 
 
 def repeated_passages(rows: DataFrame, window: int) -> DataFrame:
-    """Rows of ``keyed`` -> (id, key, spans): word ranges (start, end, start, end, ...) that documents with a smaller id have; rows without any are left out.
+    """Rows of ``keyed`` -> (id, key, spans, whole): word ranges (start, end, start, end, ...) that documents with a smaller id have, or that such a document has
+    the same text; rows without either are left out.
 
-    Texts are shuffled once, to those rows that share an anchor; all else that moves are hashes and the words of blocks that share one.
+    Texts are shuffled once, to those rows that share an anchor; all else that moves are hashes and the text of blocks that share one.
     """
-    doc, block = ["id", "key"], ["id", "key", "block"]
+    doc = ["id", "key"]
     known = rows.where("id IS NOT NULL")
+    # the aggregated sides of joins are stored, so that the joins can split the key of a text or passage that very many documents share
+    content = known.select("id", "key", F.xxhash64(F.lit(1), "text").alias("check"))
+    same = stored(content.groupBy("key", "check").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first").drop("last"), "same")
+    copies = stored(content.join(same, ["key", "check"]).where("id > first").select(doc).distinct(), "copies")
     anchors = stored(known.mapInArrow(_anchor_rows(window), "anchor long, id long, key long"), "anchors")
-    # the aggregated sides of the joins are stored, so that the joins can split the key of a passage that very many documents share
     shared = stored(anchors.groupBy("anchor").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first").select("anchor"), "shared")
-    theirs = anchors.join(shared, "anchor").groupBy(doc).agg(F.collect_set("anchor").alias("anchors"))
+    theirs = anchors.join(shared, "anchor").groupBy(doc).agg(F.collect_set("anchor").alias("anchors")).join(copies, doc, "left_anti")
     texts = known.dropDuplicates(doc).join(theirs, doc)
-    blocks = stored(texts.mapInArrow(_block_rows(window), "id long, key long, block int, first long, words binary, places array<int>, hashes array<long>"), "blocks")
-    windows = blocks.select(*block, F.explode("hashes").alias("hash"))
-    order = F.struct("id", "key", "block")
-    firsts = stored(windows.groupBy("hash").agg(F.min(order).alias("ref"), F.max("id").alias("last")).where("last > ref.id").select("hash", "ref"), "firsts")
-    wanted = windows.join(firsts, "hash").where("id > ref.id").select(*block, "ref").distinct()
-    source = blocks.select(*(F.col(c).alias(f"ref_{c}") for c in block), F.col("words").alias("ref_words"))
-    met = wanted.select(*block, *(F.col(f"ref.{c}").alias(f"ref_{c}") for c in block)).join(source, [f"ref_{c}" for c in block])
-    met = met.groupBy(block).agg(F.collect_list("ref_words").alias("blocks"))
-    parsed = blocks.select(*block, "first", "words").join(met, block).select("id", "key", "first", "words", "blocks")
-    spans = parsed.mapInArrow(_parse(window), "id long, key long, spans array<int>")
-    return spans.groupBy(doc).agg(F.flatten(F.collect_list("spans")).alias("spans")).where(F.size("spans") > 0)
+    found = texts.mapInArrow(_block_rows(window), "id long, key long, first long, words binary, lows array<int>, highs array<int>")
+    blocks = stored(found.withColumn("b", F.monotonically_increasing_id()), "blocks")  # stored, so that the numbers stay
+    count = blocks.select(F.sum(F.aggregate(F.zip_with("lows", "highs", lambda lo, hi: hi - lo), F.lit(0), lambda x, y: x + y))).first()[0] or 0
+    buckets = max(1, -(-count // BUCKET_WINDOWS))
+    hashes = blocks.select("b", "id", "words", "lows", "highs").mapInArrow(_window_hashes(window, buckets), "bucket int, b long, id long, hashes array<long>, refs array<long>")
+    wanted = hashes.groupBy("bucket").applyInArrow(_pairs_of, "b long, ref long").distinct()
+    met = wanted.join(blocks.select(F.col("b").alias("ref"), F.col("words").alias("ref_words")), "ref").groupBy("b").agg(F.collect_list("ref_words").alias("blocks"))
+    parsed = blocks.select("b", *doc, "first", "words").join(met, "b").select(*doc, "first", "words", "blocks")
+    spans = parsed.mapInArrow(_parse(window), "id long, key long, spans array<int>").groupBy(doc).agg(F.flatten(F.collect_list("spans")).alias("spans")).where(F.size("spans") > 0)
+    return spans.withColumn("whole", F.lit(False)).unionByName(copies.withColumns({"spans": F.lit(None).cast("array<int>"), "whole": F.lit(True)}))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, carry: list[str] | None = None) -> DataFrame:
@@ -302,5 +368,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = docs.select(rest, F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"))
     joined = whole.join(spans, ["id", "key"], "left")
     schema = T.StructType([T.StructField("id", T.LongType()), joined.schema["rest"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("spans", T.ArrayType(T.IntegerType()))])
-    out = joined.select("id", "text", "rest", "spans").mapInArrow(_kept(window), schema)
+    out = joined.select("id", "text", "rest", "spans", "whole").mapInArrow(_kept(window), schema)
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept_text").alias("text"), "spans", *(["rest"] if carry else []))
