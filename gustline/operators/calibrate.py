@@ -9,14 +9,31 @@ from gustline.functions.scalars import ratio
 
 
 def scalar_grid(rows: DataFrame, actual: Column, predicted: Column, most: Column, lo: int = 70, hi: int = 140) -> DataFrame:
-    """(factor_pct, wape, rank) for every factor lo..hi percent; each input row becomes one row of partial sums for each factor before any shuffle."""
-    grid = rows.withColumn("factor_pct", F.explode(F.sequence(F.lit(lo), F.lit(hi))))
-    scaled = F.least(F.greatest(predicted * F.col("factor_pct") / 100, F.lit(0.0)), most)
-    scored = grid.groupBy("factor_pct").agg(F.round(ratio(F.sum(F.abs(scaled - actual)), F.sum(F.abs(actual))), 9).alias("wape"))
-    best = Window.orderBy("wape", F.abs(F.col("factor_pct") - 100), "factor_pct")
+    """(factor_pct, wape, rank) for every factor lo..hi percent: one pass with a sum for each factor, so no row is copied."""
+    scaled = lambda f: F.least(F.greatest(predicted * f / 100, F.lit(0.0)), most)
+    sums = rows.agg(F.sum(F.abs(actual)).alias("base"), *(F.sum(F.abs(scaled(f) - actual)).alias(f"f{f}") for f in range(lo, hi + 1)))
+    scored = sums.select("base", F.explode(F.array(*(F.struct(F.lit(f).alias("factor_pct"), F.col(f"f{f}").alias("error")) for f in range(lo, hi + 1)))).alias("x"))
+    scored = scored.select("x.factor_pct", F.round(ratio(F.col("x.error"), F.col("base")), 9).alias("wape"))
+    best = Window.orderBy("wape", F.abs(F.col("factor_pct") - 100), "factor_pct")  # a row for each factor
     return scored.withColumn("rank", F.row_number().over(best))
 
 
+def calendar_coverage(rows: DataFrame, plant: str, hour: str) -> DataFrame:
+    """(plant, day, observed, expected, coverage) for every day of the calendar between the first and the last hour, those without a row too."""
+    day = F.to_date(hour)
+    days = rows.agg(F.min(day).alias("a"), F.max(day).alias("z")).select(F.explode(F.sequence("a", "z")).alias("day"))
+    counted = rows.groupBy(plant, day.alias("day")).agg(F.count("*").alias("n"))
+    # every plant by every day is what is asked for; both are dimensions
+    out = rows.select(plant).distinct().join(days).join(counted, [plant, "day"], "left").withColumn("observed", F.coalesce("n", F.lit(0)).cast("long"))
+    return out.select(plant, "day", "observed", F.lit(24).cast("long").alias("expected"), (F.col("observed") / 24).alias("coverage"))
+
+
+def fold_gates(rows: DataFrame, by: list[str], plant: str, hour_index: str, least_hours: int, least_plants: int) -> DataFrame:
+    """(by, rows, plants, hours, enough): whether each fold and role has the hours and plants that a run demands."""
+    out = rows.groupBy(*by).agg(F.count("*").alias("rows"), F.count_distinct(plant).alias("plants"), F.count_distinct(hour_index).alias("hours"))
+    return out.withColumn("enough", (F.col("hours") >= least_hours) & (F.col("plants") >= least_plants))
+
+
 def day_bootstrap(rows: DataFrame, day: str, actual: Column, before: Column, after: Column, samples: int = 200) -> DataFrame:
     """(sample, gain): the gain in WAPE over days drawn with replacement, by draws that any engine can repeat.
 

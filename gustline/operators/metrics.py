@@ -147,7 +147,9 @@ def snapped_bounds(lat: Column, lon: Column, margin: float = 0.25, step: float =
 
 
 def equal_frequency(rows: DataFrame, x: str, y: str, bins: int = 8) -> DataFrame:
-    """(bin, rows, mean of x, mean of y): bins between quantiles, so equal values share a bin."""
-    edges = rows.agg(F.percentile(x, [i / bins for i in range(1, bins)]).alias("edges"))
+    """(bin, rows, mean of x, mean of y): bins between exact quantiles, so equal values share a bin."""
+    from gustline.operators.stages import exact_quantiles
+
+    edges = exact_quantiles(rows, x, [i / bins for i in range(1, bins)]).agg(F.array_sort(F.collect_list("value")).alias("edges"))
     placed = rows.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col(x))))  # one row of a few numbers
     return placed.groupBy("bin").agg(F.count("*").alias("rows"), F.avg(x).alias(f"mean_{x}"), F.avg(y).alias(f"mean_{y}"))
