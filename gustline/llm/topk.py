@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 
 from gustline.llm.common import cut
 
-#: Distinct vectors of a block of candidates and of queries; points of a leaf; most children of a node.
-CANDIDATE_BLOCK, QUERY_BLOCK, LEAF, FANOUT = 8192, 8192, 48, 12
+#: Distinct vectors of a block of candidates and of queries; points of a leaf; points of a leaf whose parts would not be tighter; most children of a node.
+CANDIDATE_BLOCK, QUERY_BLOCK, LEAF, FLAT, FANOUT = 8192, 8192, 48, 1024, 12
 #: Nodes of the top level of the cover tree, which blocks are dealt by, and rows of the bounded sample that they are chosen from. Results don't depend on them.
 CENTERS, SAMPLE_ROWS = 512, 4096
 
@@ -46,6 +46,11 @@ def cover_tree(x: np.ndarray, points: np.ndarray | None = None, center: int | No
         closer = gap < near
         owner[closer], near[closer] = len(centers), gap[closer]
         centers.append(far)
+    if near.max() > (0.8 * radius) ** 2:  # all points lie about as far from each other (many dimensions): smaller nodes would prune nothing
+        if len(points) <= FLAT:
+            return Node(x[center], radius, points, [])
+        parts = np.array_split(points, -(-len(points) // FLAT))
+        return Node(x[center], radius, None, [cover_tree(x, part) for part in parts])
     return Node(x[center], radius, None, [cover_tree(x, points[owner == k], c) for k, c in enumerate(centers)])
 
 
@@ -110,14 +115,18 @@ class DualSearch:
         self.pairs += scores.size
         least = np.maximum(self.score[q.points, -1], self.floor[q.points])
         close = scores >= least[:, None]
-        for i in np.flatnonzero(close.any(1)):
-            row, own = q.points[i], np.flatnonzero(close[i])
-            n = self.counts[r.points[own]]
+        if scores.dtype != object and scores.shape[1] > 4 * self.k:  # none but the best of this leaf can stay
+            close &= scores >= np.partition(scores, -self.k, axis=1)[:, -self.k, None]
+        live, own = np.flatnonzero(close.any(1)), np.flatnonzero(close.any(0))
+        if len(live):
+            rows, n = q.points[live], self.counts[r.points[own]]
+            cols = np.repeat(own, n)
             ids = self.flat[np.repeat(self.first[r.points[own]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            s = np.concatenate([self.score[row], np.repeat(scores[i, own], n)])
-            names = np.concatenate([self.id[row], ids])
-            order = np.lexsort((names, -s))[: self.k]
-            self.score[row], self.id[row] = s[order], names[order]
+            part = np.ix_(live, cols)
+            s = np.concatenate([self.score[rows], np.where(close[part], scores[part], -np.inf)], axis=1)
+            i = np.concatenate([self.id[rows], np.where(close[part], ids, np.iinfo(np.int64).max)], axis=1)
+            order = np.lexsort((i, -s), axis=1)[:, : self.k]
+            self.score[rows], self.id[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
         self._lower(q)
 
 
