@@ -22,8 +22,8 @@ from gustline.llm.common import keyed, ragged_index, stored, text_bytes, text_sl
 
 #: Words of an anchor; windows of ``window`` words hold ``window - ANCHOR_WORDS + 1`` of them.
 ANCHOR_WORDS = 10
-#: Words of a reference block; windows whose hashes one task compares.
-BLOCK_WORDS, BUCKET_WINDOWS = 512, 400_000
+#: Words of a reference block; least number of buckets that window hashes are dealt into, and windows of a bucket.
+BLOCK_WORDS, BUCKETS, BUCKET_WINDOWS = 512, 64, 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -337,11 +337,12 @@ def repeated_passages(rows: DataFrame, window: int) -> DataFrame:
     anchors = stored(known.mapInArrow(_anchor_rows(window), "anchor long, id long, key long"), "anchors")
     shared = stored(anchors.groupBy("anchor").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("last > first").select("anchor"), "shared")
     theirs = anchors.join(shared, "anchor").groupBy(doc).agg(F.collect_set("anchor").alias("anchors")).join(copies, doc, "left_anti")
-    texts = known.dropDuplicates(doc).join(theirs, doc)
+    # by merging: a compressed table's size says little about its size in memory, so none is to be broadcast for it
+    texts = known.dropDuplicates(doc).join(theirs.hint("merge"), doc)
     found = texts.mapInArrow(_block_rows(window), "id long, key long, first long, words binary, lows array<int>, highs array<int>")
     blocks = stored(found.withColumn("b", F.monotonically_increasing_id()), "blocks")  # stored, so that the numbers stay
     count = blocks.select(F.sum(F.aggregate(F.zip_with("lows", "highs", lambda lo, hi: hi - lo), F.lit(0), lambda x, y: x + y))).first()[0] or 0
-    buckets = max(1, -(-count // BUCKET_WINDOWS))
+    buckets = max(BUCKETS, -(-count // BUCKET_WINDOWS))
     hashes = blocks.select("b", "id", "words", "lows", "highs").mapInArrow(_window_hashes(window, buckets), "bucket int, b long, id long, hashes array<long>, refs array<long>")
     wanted = hashes.groupBy("bucket").applyInArrow(_pairs_of, "b long, ref long").distinct()
     met = wanted.join(blocks.select(F.col("b").alias("ref"), F.col("words").alias("ref_words")), "ref").groupBy("b").agg(F.collect_list("ref_words").alias("blocks"))
@@ -366,7 +367,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spans = stored(repeated_passages(keyed(docs, id_col, text_col), window), "spans")
     text = F.col(f"`{text_col}`")
     whole = docs.select(rest, F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"))
-    joined = whole.join(spans, ["id", "key"], "left")
+    joined = whole.join(spans.hint("merge"), ["id", "key"], "left")
     schema = T.StructType([T.StructField("id", T.LongType()), joined.schema["rest"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("spans", T.ArrayType(T.IntegerType()))])
     out = joined.select("id", "text", "rest", "spans", "whole").mapInArrow(_kept(window), schema)
     return out.select(F.col("id").alias(id_col), "n_words", "n_removed", F.col("kept_text").alias("text"), "spans", *(["rest"] if carry else []))
