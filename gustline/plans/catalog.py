@@ -29,17 +29,18 @@ def capacity_by_validity(spark, sf_dir):
     return rounded(out, 2)
 
 
-@query("""WITH l AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY 1), o AS (SELECT o_orderkey AS k FROM orders WHERE o_orderkey % 5 <> 0)
-SELECT CASE WHEN l.k IS NULL THEN 'left_only' WHEN o.k IS NULL THEN 'right_only' ELSE 'both' END AS side, count(*) AS rows FROM o FULL OUTER JOIN l ON o.k = l.k GROUP BY 1""")
+@query("""WITH u AS (SELECT DISTINCT user_id * 11 AS k FROM events), o AS (SELECT c_custkey AS k FROM customer)
+SELECT CASE WHEN u.k IS NULL THEN 'left_only' WHEN o.k IS NULL THEN 'right_only' ELSE 'both' END AS side, count(*) AS rows FROM o FULL OUTER JOIN u ON o.k = u.k GROUP BY 1""")
 def full_outer_coverage_audit(spark, sf_dir):
-    items = table(spark, sf_dir, "lineitem").where("l_quantity > 10").select(F.col("l_orderkey").alias("k")).distinct()
-    return joins.coverage_audit(table(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("k")), items, ["k"])
+    """All customers against all users of events, two whole tables whose keys differ by nature."""
+    users = table(spark, sf_dir, "events").select((F.col("user_id") * 11).alias("k")).distinct()
+    return joins.coverage_audit(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), users, ["k"])
 
 
 @query("""WITH l AS (SELECT DISTINCT l_orderkey AS k FROM lineitem), o AS (SELECT o_orderkey AS k FROM orders)
 SELECT CASE WHEN l.k IS NULL THEN 'left_only' WHEN o.k IS NULL THEN 'right_only' ELSE 'both' END AS side, count(*) AS rows FROM o FULL OUTER JOIN l ON o.k = l.k GROUP BY 1""")
 def whole_coverage_audit(spark, sf_dir):
-    """All orders against the orders of all lines; full_outer_coverage_audit takes a filtered part of each."""
+    """All orders against the orders of all lines."""
     items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")).distinct()
     return joins.coverage_audit(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), items, ["k"])
 
