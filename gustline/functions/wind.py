@@ -19,7 +19,7 @@ def speed(u: Column, v: Column) -> Column:
 
 
 def blows_from(u: Column, v: Column) -> Column:
-    """Where the wind comes from, in degrees from north; zero for calm air."""
+    """Where the wind comes from, in degrees from north. Calm air, which comes from nowhere, gives 0; a formula with signed zeros would give 180."""
     return F.pmod(F.degrees(F.atan2(0 - u, 0 - v)) + 360, F.lit(360.0))
 
 
@@ -50,6 +50,10 @@ def longitude_180(lon: Column) -> Column:
     return F.pmod(lon + 180, F.lit(360.0)) - 180
 
 
+def longitude_360(lon: Column) -> Column:
+    return F.pmod(lon, F.lit(360.0))
+
+
 def stability(zeta: Column) -> Column:
     """Businger and Dyer's correction for momentum."""
     x = F.pow(1 - 16 * F.least(zeta, F.lit(0.0)), F.lit(0.25))

@@ -12,6 +12,11 @@ class ContractError(ValueError):
     """A table breaks its contract."""
 
 
+def few(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """The table, marked for broadcast if a count shows that it has at most so many rows; larger ones are left to the planner."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def require(df: DataFrame, columns: list[str]) -> DataFrame:
     if missing := sorted(set(columns) - set(df.columns)):
         raise ContractError(f"missing columns: {missing}")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustline.functions import scalars as S
-from gustline.operators.checks import require_unique
+from gustline.operators.checks import few, require_unique
 
 
 def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -107,9 +107,7 @@ def expected_hours(blocks: DataFrame, segments: DataFrame) -> DataFrame:
 
 def among(rows: DataFrame, wanted: DataFrame, key: str, small: int = 100_000) -> DataFrame:
     """Rows whose key is wanted; the keys are broadcast where a count shows at most ``small`` of them, else joined by a shuffle."""
-    keys = wanted.select(key).distinct()
-    keys = F.broadcast(keys) if keys.limit(small + 1).count() <= small else keys
-    return rows.join(keys, key, "left_semi")
+    return rows.join(few(wanted.select(key).distinct(), small), key, "left_semi")
 
 
 def union_all(tables: list[DataFrame]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gustline.functions import wind as W
 from gustline.functions.scalars import ratio
+from gustline.operators.checks import few
 
 
 def regression(actual: Column, predicted: Column, capacity: Column) -> list[Column]:
@@ -117,7 +118,7 @@ def interval_table(rows: DataFrame, band: str, error: Column, least: int = 20) -
 
 def interval_coverage(rows: DataFrame, table: DataFrame, band: str, actual: Column, predicted: Column, wind: Column, capacity: Column, availability: Column) -> DataFrame:
     """Share of rows inside their band's interval, and its mean width; the table has a row for each of six bands."""
-    joined = rows.join(F.broadcast(table.select(band, "p05", "p95")), band, "left")
+    joined = rows.join(few(table.select(band, "p05", "p95")), band, "left")
     low = W.bounded(predicted, F.col("p05") * capacity, wind, capacity, availability)
     high = W.bounded(predicted, F.col("p95") * capacity, wind, capacity, availability)
     return joined.agg(F.count("*").alias("rows"), F.avg(actual.between(low, high).cast("double")).alias("inside"), F.avg(high - low).alias("width"))

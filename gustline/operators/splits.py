@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gustline.operators.checks import few
+
 
 def ranked_hours(rows: DataFrame, hour: str) -> DataFrame:
     """(hour, rank from 0, n): distinct hours only, so ordering them is small whatever the number of rows."""
@@ -36,13 +38,13 @@ def expanding_folds(rows: DataFrame, hour: str, hour_index: str, folds: int, gap
 
 def fold_rows(rows: DataFrame, folds: DataFrame, hour_index: str) -> DataFrame:
     """(fold, train_rows, evaluation_rows); there are as many folds as the caller asked for."""
-    both = rows.join(F.broadcast(folds), (F.col(hour_index) < F.col("cutoff")) | F.col(hour_index).between(F.col("start"), F.col("end")))
+    both = rows.join(few(folds), (F.col(hour_index) < F.col("cutoff")) | F.col(hour_index).between(F.col("start"), F.col("end")))
     return both.groupBy("fold").agg(F.count_if(F.col(hour_index) < F.col("cutoff")).alias("train_rows"), F.count_if(F.col(hour_index).between(F.col("start"), F.col("end"))).alias("evaluation_rows"))
 
 
 def assign_blocks(rows: DataFrame, blocks: DataFrame, time: str) -> DataFrame:
     """Rows with the fold and role of the calendar block [block_start, block_end) they lie in; the block table is a few declared rows."""
-    return rows.join(F.broadcast(blocks), (F.col(time) >= F.col("block_start")) & (F.col(time) < F.col("block_end")))
+    return rows.join(few(blocks), (F.col(time) >= F.col("block_start")) & (F.col(time) < F.col("block_end")))
 
 
 def contiguous_months(months: DataFrame, month: str, expected: int = 12) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gustline.functions import wind as W
 from gustline.functions.scalars import ratio
+from gustline.operators.checks import few
 from gustline.operators.splits import block_of, ranked_hours
 
 
@@ -70,7 +71,7 @@ def cross_fitted(rows: DataFrame, hour_index: str, folds: int, gap_hours: int, o
     own = rows.join(ranks, hour_index)
     starts = ranks.groupBy("fold").agg(F.min(hour_index).alias("_start")).where("fold > 0").withColumn("_cutoff", F.col("_start") - gap_hours)
     by_hour = own.groupBy(group, hour_index).agg(F.sum(outcome).alias("_y"), F.sum(treatment).alias("_d"), F.count("*").alias("_n"))
-    past = by_hour.join(F.broadcast(starts.select(F.col("fold").alias("_fold"), "_cutoff")), F.col(hour_index) < F.col("_cutoff"))  # as many rows as folds
+    past = by_hour.join(few(starts.select(F.col("fold").alias("_fold"), "_cutoff")), F.col(hour_index) < F.col("_cutoff"))
     means = past.groupBy(F.col("_fold").alias("fold"), group).agg((F.sum("_y") / F.sum("_n")).alias("_my"), (F.sum("_d") / F.sum("_n")).alias("_md"))
     return own.join(means, ["fold", group]).withColumns({"y": F.col(outcome) - F.col("_my"), "d": F.col(treatment) - F.col("_md")}).drop("_my", "_md")
 

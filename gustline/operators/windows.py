@@ -57,7 +57,8 @@ def stratified_sample(rows: DataFrame, outer: str, inner: str, order: list[Colum
     """n rows spread over strata: rank within (outer, inner), then within outer, then the lowest ranks."""
     first = F.row_number().over(Window.partitionBy(outer, inner).orderBy(*order))
     second = F.row_number().over(Window.partitionBy(outer).orderBy("inner_rank", inner, *order))
-    ranked = rows.withColumn("inner_rank", first).withColumn("outer_rank", second)
+    # no stratum gives more than n rows, so the rest is left out before the second ranking, and already before the first one's shuffle
+    ranked = rows.withColumn("inner_rank", first).where(F.col("inner_rank") <= n).withColumn("outer_rank", second).where(F.col("outer_rank") <= n)
     return ranked.orderBy("outer_rank", outer, inner).limit(n)
 
 

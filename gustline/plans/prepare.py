@@ -365,3 +365,10 @@ def residual_targets(spark, sf_dir):
     residual, target = W.capacity_factors(F.col("gen"), F.col("base"), F.col("cap"))
     rows = scored(spark, sf_dir).withColumns({"residual": residual, "target": target})
     return rounded(rows.select("plant", "hour", "residual", "target", W.scaled(F.col("base"), F.col("residual"), 0.5, F.col("w"), F.col("cap"), F.col("avail")).alias("scaled")))
+
+
+@query(f"WITH {PANEL} SELECT plant, hour, round(gen, 6) AS gen, n FROM panel")
+def hourly_sum_of_copies(spark, sf_dir):
+    """A source that has a part of its rows twice gives the panel of the rows themselves."""
+    rows = table(spark, sf_dir, "events").withColumnsRenamed({"event_type": "plant", "value": "gen"})
+    return rounded(clean.hourly_sum(rows.unionAll(rows.where("event_id % 13 = 0")), ["plant"], "ts", "gen"))

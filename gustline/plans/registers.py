@@ -120,7 +120,7 @@ SELECT c_custkey, near_lat, near_lon, round(2 * 6371.0088 * asin(sqrt(pow(sin(ra
 def nearest_grid_point(spark, sf_dir):
     """Both axes; the grid counts longitudes from 0 to 360, the plants from -180 to 180."""
     k = F.col("c_custkey")
-    rows = table(spark, sf_dir, "customer").select(k, (F.lit(-16.0) + k * 37 % 1500 / 100).alias("lat"), (F.lit(-45.0) + k * 53 % 1000 / 100).alias("lon")).withColumn("x", F.pmod(F.col("lon"), F.lit(360.0)))
+    rows = table(spark, sf_dir, "customer").select(k, (F.lit(-16.0) + k * 37 % 1500 / 100).alias("lat"), (F.lit(-45.0) + k * 53 % 1000 / 100).alias("lon")).withColumn("x", W.longitude_360(F.col("lon")))
     lats = spark.range(61).select((F.lit(-16.0) + F.col("id") * 0.25).alias("point"))
     lons = spark.range(1440).select((F.col("id") * 0.25).alias("point"))
     near = joins.nearest_on_axis(joins.nearest_on_axis(rows, "lat", lats, "point", 0.25), "x", lons, "point", 0.25)

@@ -12,13 +12,15 @@ from pyspark.sql import SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where that setting is absent (tests on one machine) a temporary folder is made.
+    Only where that setting is absent and Spark runs on one machine, as in tests, a temporary folder is made; on a cluster its absence is an error.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = sc.getCheckpointDir()
     if not folder:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="shared-")
         sc.setCheckpointDir(folder)
     elif not sc.getCheckpointDir():

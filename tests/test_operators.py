@@ -185,3 +185,57 @@ def test_logical_hash_ignores_order(spark):
     other = one(tables.logical_hash(spark.createDataFrame([(1, "a"), (2, ""), (3, None)], "k int, t string"), ["k", "t"]))
     assert a == b and a.rows == 3 and other.digest != a.digest
     assert tables.canonical_json({"b": 1, "a": [None]}) == '{"a":[null],"b":1}'
+
+
+def test_the_residual_model_is_bounded_and_tested_on_later_hours(spark):
+    from gustline.operators.ml import residual_model
+    from gustline.plans.registry import scored
+
+    rows = scored(spark, "/root/testdata/sf0.01")
+    hours = sorted({r.hour_idx for r in rows.select("hour_idx").collect()})
+    out = residual_model(rows).toPandas()
+    held = rows.where(F.col("hour_idx") >= hours[len(hours) * 85 // 100]).count()
+    assert len(out) == held and out.hybrid.between(0, 427.5).all()
+    assert (out.hybrid - out.gen).abs().mean() <= (out.base - out.gen).abs().mean()
+
+
+def test_capacity_counts_overlapping_relations_once(spark):
+    day = dt.datetime(2024, 1, 1)
+    at = lambda n: day + dt.timedelta(days=n)
+    members = spark.createDataFrame([("p", 1, 5.0, at(0), at(9)), ("p", 1, 7.0, at(4), at(5)), ("p", 2, 2.0, None, at(3)), ("p", 3, None, at(1), None), ("q", 1, 1.0, at(5), at(2))], "plant string, member int, cap double, start timestamp_ntz, end timestamp_ntz")
+    asked = spark.createDataFrame([("p", at(n)) for n in range(-1, 12)] + [("q", at(4))], "plant string, t timestamp_ntz")
+    got = {r.t: (r.cap, r.members) for r in joins.capacity_by_validity(asked, members, ["plant"], "t", "member", "cap").collect()}
+    want = {at(-1): (2.0, 1), at(0): (7.0, 2)} | {at(n): (7.0, 3) for n in (1, 2, 3)} | {at(n): (7.0, 2) for n in (4, 5)} | {at(n): (5.0, 2) for n in (6, 7, 8, 9)} | {at(n): (0.0, 1) for n in (10, 11)}
+    assert got == want
+
+
+def test_staged_outputs_appear_once(spark, tmp_path):
+    from gustline.sources import periods
+
+    df = spark.range(5)
+    periods.staged(df, f"file://{tmp_path}/a/out")
+    assert spark.read.parquet(f"file://{tmp_path}/a/out").count() == 5
+    with pytest.raises(checks.ContractError):
+        periods.staged(df, f"file://{tmp_path}/a/out")
+
+
+def test_implied_numbers_and_marks(spark):
+    rows = [("1000",), (".985",), ("99999",), ("-9999",), ("    ",), ("1E2 ",), ("x",)]
+    assert values(spark, S.implied_number(F.col("t"), 1), rows, "t string") == [1.0, 0.985, 99999.0, -9999.0, None, 100.0, None]
+
+
+def test_exact_quantiles_with_ties_and_nulls(spark):
+    from gustline.operators import stages
+
+    df = spark.createDataFrame([(float(x),) for x in [1, 1, 1, 2, 5, 5, 9]] + [(None,)], "x double")
+    got = {r.share: r.value for r in stages.exact_quantiles(df, "x", [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    assert got == {0.0: 1.0, 0.25: 1.0, 0.5: 2.0, 0.9: pytest.approx(6.6), 1.0: 9.0}
+    assert stages.exact_quantiles(df.where("x IS NULL"), "x", [0.5]).count() == 0
+
+
+def test_memberships_without_an_id_are_an_error(spark):
+    from gustline.sources import registers
+
+    rows = spark.createDataFrame([(None, "m", "c", "NE", "2024-01-01", None)], "group string, member string, code string, area string, start string, end string")
+    with pytest.raises(Exception, match="without an id"):
+        registers.read_membership(rows, "NE").collect()
