@@ -33,3 +33,9 @@ def residual_model(rows: DataFrame, kind: str = "boosted") -> DataFrame:
     out = fitted.transform(data.where("part = 'test'"))
     hybrid = W.bounded(F.col("base"), F.col("prediction") * F.col("cap"), F.col("w"), F.col("cap"), F.col("avail"))
     return out.select("plant", "hour", "gen", "base", hybrid.alias("hybrid"))
+
+
+def approval(out: DataFrame) -> DataFrame:
+    """One row: errors of the power curve and of the corrected estimate on the test part, and whether the correction may be used: only if it is better."""
+    errors = out.agg(F.count("*").alias("rows"), F.avg(F.abs(F.col("base") - F.col("gen"))).alias("base_mae"), F.avg(F.abs(F.col("hybrid") - F.col("gen"))).alias("hybrid_mae"))
+    return errors.withColumn("approved", F.col("hybrid_mae") < F.col("base_mae"))

@@ -101,3 +101,14 @@ def window_of_days(rows: DataFrame, time: str, days: int, start=None) -> DataFra
         return rows.where((F.col(time) >= first) & (F.col(time) < first + F.make_dt_interval(F.lit(days))))
     first = rows.agg(F.min(time).alias("_first"))
     return rows.join(F.broadcast(first)).where(F.col(time) < F.col("_first") + F.make_dt_interval(F.lit(days))).drop("_first")  # one row of one time
+
+
+def profile(records: DataFrame, row_id: str) -> DataFrame:
+    """One row about source records: rows, those whose id another row has, the share without a number, the share that is valid, plant-hours, and the share that
+    these are of all plants by all hours."""
+    copies = records.groupBy(row_id).agg(F.count("*").alias("_n")).agg(F.coalesce(F.sum(F.when(F.col("_n") > 1, F.col("_n"))), F.lit(0)).alias("repeated"))
+    part = records.agg(F.count("*").alias("rows"), F.count_if(F.col("gen").isNull()).alias("_null"), F.count_if("valid").alias("_valid"))
+    keys = records.where("valid").select("plant", "t").distinct().agg(F.count("*").alias("plant_hours"), F.count_distinct("plant").alias("_p"), F.count_distinct("t").alias("_t"))
+    share = lambda a, b: S.ratio(a.cast("double"), b.cast("double"))
+    out = part.join(F.broadcast(copies)).join(F.broadcast(keys))  # one row each
+    return out.select("rows", "repeated", share(F.col("_null"), F.col("rows")).alias("null_rate"), share(F.col("_valid"), F.col("rows")).alias("valid_share"), "plant_hours", share(F.col("plant_hours"), F.col("_p") * F.col("_t")).alias("coverage"))

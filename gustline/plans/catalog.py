@@ -160,6 +160,14 @@ def mllib_residual_model(spark, sf_dir):
     return residual_model(scored(spark, sf_dir))
 
 
+@query()
+def model_approval(spark, sf_dir):
+    """Whether a linear correction of the power curve beats it on the last 15 percent of hours."""
+    from gustline.operators.ml import approval, residual_model
+
+    return approval(residual_model(scored(spark, sf_dir), "linear"))
+
+
 @query()
 def streaming_hourly_panel(spark, sf_dir):
     """Events as a stream of files into hourly sums (an extension)."""

@@ -372,3 +372,15 @@ def hourly_sum_of_copies(spark, sf_dir):
     """A source that has a part of its rows twice gives the panel of the rows themselves."""
     rows = table(spark, sf_dir, "events").withColumnsRenamed({"event_type": "plant", "value": "gen"})
     return rounded(clean.hourly_sum(rows.unionAll(rows.where("event_id % 13 = 0")), ["plant"], "ts", "gen"))
+
+
+@query(f"""WITH {_SRC}, k AS (SELECT *, count(*) OVER (PARTITION BY event_id) AS n FROM flags) SELECT count(*) AS rows, count(CASE WHEN n > 1 THEN 1 END) AS repeated, round(count(CASE WHEN gen IS NULL THEN 1 END) / count(*), 6) AS null_rate, round(count(CASE WHEN scope AND named AND gen >= 0 AND t = date_trunc('hour', t) THEN 1 END) / count(*), 6) AS valid_share,
+(SELECT count(*) FROM (SELECT DISTINCT plant, t FROM ok)) AS plant_hours, round((SELECT count(*) FROM (SELECT DISTINCT plant, t FROM ok)) / ((SELECT count(DISTINCT plant) FROM ok) * (SELECT count(DISTINCT t) FROM ok)), 6) AS coverage FROM k""")
+def dataset_profile(spark, sf_dir):
+    return rounded(observed.profile(_records(spark, sf_dir), "event_id"))
+
+
+@query(f"""WITH {_HOURLY} SELECT strftime(t - INTERVAL 3 HOUR, '%Y-%m-%d') AS day, round(sum(gen), 9) AS gen, round(avg(cap), 9) AS mean_capacity, count(*) AS plant_hours FROM observed GROUP BY 1""")
+def daily_capacity_rollup(spark, sf_dir):
+    day = F.date_format(F.convert_timezone(F.lit("UTC"), F.lit("America/Sao_Paulo"), F.col("t")), "yyyy-MM-dd")
+    return rounded(_observed(spark, sf_dir).groupBy(day.alias("day")).agg(F.sum("gen").alias("gen"), F.avg("cap").alias("mean_capacity"), F.count("*").alias("plant_hours")), 9)
