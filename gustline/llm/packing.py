@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -14,22 +16,18 @@ from gustline.llm import encode
 from gustline.llm.common import keyed, shared_dir, text_slices
 
 #: What a cut costs, in tokens of padding: behind a sentence, and elsewhere inside a document. Between documents it is free.
-SENTENCE_CUT, FORCED_CUT = 8, 64
-#: Tokens that are planned before settled sequences are given out; the plan doesn't depend on it.
-STEP = 1 << 18
+SENTENCE_CUT, FORCED_CUT = 8, 32
+#: Ids that are planned before settled sequences are looked for; ids that are held at most before some are given out in any case. That may cost a sequence
+#: in each half of HORIZON (one in 128), and in practice costs a few ids: from the best cut so far any plan can go on as it would, after at most one more cut.
+STEP, HORIZON = 1 << 18, 1 << 20
 
 
-def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where documents that lie in a row may be cut (ids before the cut), and what the cut costs: at each document's end, behind every sentence, and
-    in a stretch of over ``capacity`` ids without either at every id."""
+def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where documents that lie in a row may well be cut (ids before the cut), and what the cut costs: at each document's end, and behind every sentence."""
     cost = np.full(len(ids) + 1, -1, np.int64)
     cost[1:][ends_sentence[ids]] = SENTENCE_CUT
     cost[doc_ends] = 0
     at = np.flatnonzero(cost[1:] >= 0) + 1
-    gaps = np.diff(np.r_[0, at])
-    for k in np.flatnonzero(gaps > capacity):
-        cost[at[k] - gaps[k] + 1 : at[k]] = FORCED_CUT
-    at = np.flatnonzero(cost[1:] >= 0) + 1
     return at, cost[at]
 
 
@@ -37,25 +35,44 @@ class Plan:
     """The cuts of a stream with the least padding and cut costs, as cut points come in.
 
     The total up to a cut is the least total over the cuts at most ``capacity`` before it, plus one sequence and the cut's
-    cost: a minimum over a sliding window, which a monotone queue keeps. Only the cuts in the queue can come before a later one, so what the best
-    ways to all of them share is part of the plan of the whole stream, and can be given out.
+    cost: a minimum over a sliding window, which a monotone queue keeps. A cut elsewhere, at the price ``forced``, is best made where it fills its sequence, as a later start
+    reaches no less; so it need only be tried exactly ``capacity`` behind a cut, and only behind one that the queue has kept so far. Only the
+    cuts in the queue can come before a later one, so what the best ways to all of them share is part of the plan of the whole stream, and can be given out.
     """
 
-    def __init__(self, capacity: int):
-        self.capacity = capacity
-        self.at, self.total, self.before, self.queue, self.head = [0], [0], [0], [0], 0
+    def __init__(self, capacity: int, forced: int | None = None):
+        self.capacity, self.forced = capacity, forced
+        self.points: list[tuple[int, int]] = []  # cut points behind the last cut that was given out
+        self._start(0)
+
+    def _start(self, at: int) -> None:
+        self.at, self.total, self.before, self.queue, self.head = [at], [0], [0], [0], 0
 
     def extend(self, points: list[int], costs: list[int]) -> None:
-        """Rising cut points, neighbours at most ``capacity`` apart, and their costs."""
-        at, total, before, queue, head, capacity = self.at, self.total, self.before, self.queue, self.head, self.capacity
+        """Rising cut points and their costs; without a price for forced cuts neighbours lie at most ``capacity`` apart."""
+        self.points += zip(points, costs)
+        self._plan(points, costs)
+
+    def _plan(self, points: list[int], costs: list[int]) -> None:
+        at, total, before, queue, head, capacity, forced = self.at, self.total, self.before, self.queue, self.head, self.capacity, self.forced
         j = len(at)
-        at += points
         for here, cost in zip(points, costs):
             reach = here - capacity
             while at[queue[head]] < reach:
+                i = queue[head]
                 head += 1
+                if forced is not None:
+                    t = total[i] + capacity + forced
+                    at.append(at[i] + capacity)
+                    total.append(t)
+                    before.append(i)
+                    while len(queue) > head and total[queue[-1]] >= t:
+                        queue.pop()
+                    queue.append(j)
+                    j += 1
             i = queue[head]
             t = total[i] + capacity + cost
+            at.append(here)
             total.append(t)
             before.append(i)
             while len(queue) > head and total[queue[-1]] >= t:
@@ -74,16 +91,28 @@ class Plan:
 
     def settled(self) -> list[int]:
         """The cuts that the best ways to all cuts in the queue share; they are forgotten."""
-        ends = set(self.queue)
-        while len(ends) > 1:
-            last = max(ends)
-            ends.remove(last)
-            ends.add(self.before[last])
-        root = ends.pop()
+        ends = sorted({-i for i in self.queue})
+        while len(ends) > 1:  # the last one gives way to the one before it
+            i = self.before[-heappop(ends)]
+            if -i not in ends:
+                heappush(ends, -i)
+        root = -ends[0]
         cuts = self._way(root)
         self.at, self.total = self.at[root:], self.total[root:]
         self.before = [max(i - root, 0) for i in self.before[root:]]
         self.queue = [i - root for i in self.queue]
+        self._forget(self.at[0])
+        return cuts
+
+    def _forget(self, place: int) -> None:
+        self.points = self.points[bisect_right(self.points, (place, 1 << 60)) :]
+
+    def commit(self, keep: int) -> list[int]:
+        """The best way so far, but for its last ``keep`` ids, whether settled or not; what follows is planned anew from there."""
+        cuts = [c for c in self.best() if c <= self.at[-1] - keep]
+        self._forget(cuts[-1])
+        self._start(cuts[-1])
+        self._plan([p for p, _ in self.points], [c for _, c in self.points])
         return cuts
 
     def best(self) -> list[int]:
@@ -101,9 +130,9 @@ class Plan:
         return cuts
 
 
-def plan_cuts(at: list[int], cost: list[int], capacity: int) -> list[int]:
+def plan_cuts(at: list[int], cost: list[int], capacity: int, forced: int | None = None) -> list[int]:
     """The cuts with the least padding and cut costs of a whole stream, from 0 to the best cut among its last ``capacity`` ids."""
-    plan = Plan(capacity)
+    plan = Plan(capacity, forced)
     plan.extend(at, cost)
     return plan.best()
 
@@ -118,23 +147,26 @@ class Packer:
 
     def __init__(self, capacity: int, ends_sentence: np.ndarray, base: int):
         self.ends_sentence, self.base = ends_sentence, base
-        self.plan, self.given, self.sequence = Plan(capacity), 0, 0
+        self.plan, self.given, self.sequence = Plan(capacity, FORCED_CUT), 0, 0
         self.ids, self.names, self.ends = np.zeros(0, np.uint32), [], np.zeros(0, np.int64)  # documents not yet given out whole: ids, names, places of their ends
-        self.begin = 0  # the place of the first of them
+        self.begin, self.tried = 0, 0  # the place of the first of them; ids that were held when settled ones were last looked for
 
     def add(self, names: list[int | None], ids: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Documents, their ids in a row, and where each ends."""
         for first in range(0, len(names), 64):  # documents are many or long, so some STEP at once
             own = ends[first : first + 64]
             start = ends[first - 1] if first else 0
-            points, costs = cut_points(ids[start : own[-1]], own - start, self.ends_sentence, self.plan.capacity)
+            points, costs = cut_points(ids[start : own[-1]], own - start, self.ends_sentence)
             place = self.begin + len(self.ids)
             self.plan.extend((points + place).tolist(), costs.tolist())
             self.ids = np.concatenate([self.ids, ids[start : own[-1]]])
             self.names += names[first : first + 64]
             self.ends = np.concatenate([self.ends, own - start + place])
-            if len(self.ids) >= STEP:
+            if len(self.ids) - self.tried >= STEP:
                 yield from self._give(self.plan.settled())
+                if len(self.ids) >= HORIZON:
+                    yield from self._give(self.plan.commit(HORIZON // 2))
+                self.tried = len(self.ids)
 
     def finish(self) -> Iterator[pa.RecordBatch]:
         if self.names:
@@ -181,9 +213,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     """Documents -> (id, start, length, doc_tokens, sequence_id, offset, ids): the pieces of all documents in sequences.
 
     Each text (null: empty) is encoded whole and gets ``end_id``. Documents stay in the order of their ids: the table is
-    dealt into ranges of ids, each range is one stream of tokens, and the stream's cuts, at documents' and sentences' ends, are planned so that padding
-    to ``capacity`` plus the cost of cuts inside documents is least. Only in a stretch of over ``capacity`` ids without such an end may any id be cut
-    behind. What remains at a range's end fills sequences of power-of-two lengths. A sequence is named by its range and its number there; offsets have
+    dealt into ranges of ids, each range is one stream of tokens, and the stream's cuts, at documents' and sentences' ends and at a higher price
+    behind any id, are planned so that padding to ``capacity`` plus the cost of cuts inside documents is least. What remains at a range's end fills
+    sequences of power-of-two lengths. A sequence is named by its range and its number there; offsets have
     no gaps. The ranges' bounds come from a sample of ids that Spark draws, so a table read in other parts may get other bounds, and near them other
     cuts and sequence ids. ids is little-endian unsigned 32-bit. Every id of every document is in
     one piece, an empty document's end id too. Rows with a null id come first, under a null id; rows of one id follow each other by a hash of their
