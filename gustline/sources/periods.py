@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gustline.functions import scalars as S
 from gustline.operators.checks import ContractError
-from gustline.shared import fresh_path
 from gustline.sources.tables import canonical_json
 
 
@@ -78,7 +79,7 @@ def staged(df: DataFrame, path: str, kind: str = "parquet", **options) -> None:
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if files.exists(target):
         raise ContractError(f"there is an output at {path}")
-    part = fresh_path(spark, "part")
+    part = f"{path}._part-{uuid.uuid4().hex[:12]}"
     df.write.format(kind).options(**options).save(part)
     files.mkdirs(target.getParent())
     if not files.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(part), target):
@@ -101,8 +102,6 @@ def report_lines(facts: DataFrame, title: str, columns: list[str]) -> DataFrame:
     head = [f"# {title}", "", "| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
     top = facts.sparkSession.createDataFrame(list(enumerate(head)), "position long, line string")
     row = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns)), F.lit(" |"))
-    from pyspark.sql import Window
-
     body = facts.select((F.row_number().over(Window.orderBy(columns[0])) + len(head) - 1).cast("long").alias("position"), row.alias("line"))
     return top.unionAll(body)
 
@@ -131,8 +130,6 @@ def check_lines(lines: DataFrame, header: str, most: int = MOST_ROWS) -> DataFra
     out = out.withColumns({n: F.trim(F.get("_c", F.lit(k))) for k, n in enumerate(names)})
     values = {c: S.plain_number(F.col(c)) for c in ["u", "v", "availability", *(c for c in RANGES if c in names)]}
     out = out.withColumn("_t", S.strict_iso_hour(F.col("hour"))).withColumns({f"_{c}": x for c, x in values.items()})
-    from pyspark.sql import Window
-
     first = F.min("row").over(Window.partitionBy("plant", "_t"))
     error = F.when(F.col("row") > most + 1, "too_many_rows").when(F.size("_c") != len(names), "columns").when(F.col("_t").isNull(), "hour").when(F.coalesce(F.col("plant"), F.lit("")) == "", "plant").when(F.col("row") > first, "repeated")
     for c in ("u", "v", "availability"):
