@@ -1,7 +1,7 @@
 """Whole texts through the tokenizers library, each distinct chunk of a text once.
 
-A text is cut only where white space follows a character that is none. No piece that the splitters of these vocabularies can match
-reaches over such a place: a piece is either white space alone, or at most one space and then other characters, and
+A text is cut only where white space follows a character that is none, or a mark an ASCII letter. No piece that the splitters of these vocabularies can match
+reaches over such a place: a piece is either white space alone, or at most one space and then letters only, digits only, or neither, and
 no rule looks at what lies before a piece. So the pieces of a text are those of its chunks in a row, and so are the ids. Chunks
 repeat far more than texts do; each worker keeps the ids of those it has seen, up to a bound. Tests hold the ids against
 those of whole texts, for all documents and all vocabularies.
@@ -25,8 +25,12 @@ from gustline.llm.common import ragged_index, text_bytes
 REMEMBERED, REMEMBERED_IDS = 500_000, 8_000_000
 #: Longer chunks (in characters) are encoded but not remembered.
 LONGEST = 64
-#: A word of Latin letters (each a letter by itself, in normal form) with the space before it, and a mark: every splitter here makes of it one piece and the mark another.
-PLAIN, MARKS = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+[.,;:!?]?$", ".,;:!?"
+#: A word of Latin letters (each a letter by itself, in normal form) with the space before it: every splitter here makes of it one piece.
+PLAIN = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
+#: Marks that end a piece of letters before them: no splitter here has a piece of letters and these.
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[[*b".,;:!?"]] = True
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -48,13 +52,14 @@ def byte_characters() -> list[str]:
 
 
 def chunk_starts(raw: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Where chunks begin: at the start of each row that is not empty, and at white space right behind a character that is none."""
+    """Where chunks begin: at the start of each row that is not empty, at white space right behind a character that is none, and at a mark right behind a letter."""
     if not len(raw):
         return np.zeros(0, np.int64)
     space = _SPACE[raw]
     edge = np.zeros(len(raw), bool)
     edge[1:] = space[1:] & ~space[:-1]
     at = np.flatnonzero(edge)
+    edge[1:] |= _MARK[raw[1:]] & _LETTER[raw[:-1]]
     odd = at[(raw[at - 1] >= 0x80) | (raw[at - 1] < 0x20)]
     if len(odd):
         behind = np.zeros(len(odd), np.int64)
@@ -86,7 +91,6 @@ class Encoder:
         lowers, names = alone("Q") == alone("q"), byte_characters()
         self.drops_space = alone(" ") == []
         self.shown = {i: "".join(names[b] for b in (chr(i).lower() if lowers else chr(i)).encode()) for i in range(256) if i != 10}
-        self.marks = {c: alone(c) for c in MARKS}
         self._forget()
 
     def _forget(self) -> None:
@@ -134,28 +138,24 @@ class Encoder:
         fresh = chunks.take(pa.array(new))
         size = pc.utf8_length(fresh).to_numpy()
         plain = pc.match_substring_regex(fresh, PLAIN).to_numpy(zero_copy_only=False) & (size <= LONGEST)
-        words, others = np.flatnonzero(plain), np.flatnonzero(~plain)
-        others = others[np.argsort(size[others] > LONGEST, kind="stable")]
-        ids, counts = self._words(fresh.take(pa.array(words)))
-        more, n = self._encoded([names[i] for i in new[others]])
+        order = new[np.argsort(np.where(plain, 0, np.where(size <= LONGEST, 1, 2)), kind="stable")]
+        chosen, split = [names[i] for i in order.tolist()], int(plain.sum())
+        ids, counts = self._words(chosen[:split])
+        more, n = self._encoded(chosen[split:])
         base = len(self.known)
-        order = new[np.r_[words, others]]
         self.flat = np.concatenate([self.flat, ids, more])
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.r_[counts, n])])
         slots[order] = base + np.arange(len(order))
-        self.known.update(zip([names[i] for i in order[: int((size <= LONGEST).sum())]], range(base, base + len(order))))
+        self.known.update(zip(chosen[: int((size <= LONGEST).sum())], range(base, base + len(order))))
         return slots
 
-    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Plain words by the tokenizer's model alone: such a word is one piece, and a mark behind it another."""
-        marks = [self.marks[w[-1:]] if w[-1:] in MARKS else () for w in words.to_pylist()]
-        bare = "\n".join(pc.utf8_rtrim(words, characters=MARKS).to_pylist()).translate(self.shown).split("\n")
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Plain words by the tokenizer's model alone, as such a word is one piece."""
         ids, counts, tokenize = [], [], self.tokenizer.model.tokenize
-        for word, mark in zip(bare, marks):
-            own = [t.id for t in tokenize(word)]
-            ids += own
-            ids += mark
-            counts.append(len(own) + len(mark))
+        for word in "\n".join(words).translate(self.shown).split("\n") if words else []:
+            own = tokenize(word)
+            ids += [t.id for t in own]
+            counts.append(len(own))
         return np.array(ids, np.uint32), np.array(counts, np.int64)
 
     def _encoded(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:

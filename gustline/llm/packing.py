@@ -17,9 +17,9 @@ from gustline.llm.common import keyed, shared_dir, text_slices
 
 #: What a cut costs, in tokens of padding: behind a sentence, and elsewhere inside a document. Between documents it is free.
 SENTENCE_CUT, FORCED_CUT = 8, 32
-#: Ids that are planned before settled sequences are looked for; ids that are held at most before some are given out in any case. That may cost a sequence
-#: in each half of HORIZON (one in 128), and in practice costs a few ids: from the best cut so far any plan can go on as it would, after at most one more cut.
-STEP, HORIZON = 1 << 18, 1 << 20
+#: Ids that are planned before settled sequences are given out, and ids that are planned again where none or few are settled and the best ones so far are given out.
+#: That may cost one sequence in HORIZON - REPLAN ids (one in 192) and in practice costs a few ids: from the best cut so far any plan can go on as it would, after at most one more cut.
+HORIZON, REPLAN = 1 << 20, 1 << 18
 
 
 def cut_points(ids: np.ndarray, doc_ends: np.ndarray, ends_sentence: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +42,7 @@ class Plan:
 
     def __init__(self, capacity: int, forced: int | None = None):
         self.capacity, self.forced = capacity, forced
-        self.points: list[tuple[int, int]] = []  # cut points behind the last cut that was given out
+        self.points, self.costs = [], []  # cut points behind the last cut that was given out
         self._start(0)
 
     def _start(self, at: int) -> None:
@@ -50,7 +50,8 @@ class Plan:
 
     def extend(self, points: list[int], costs: list[int]) -> None:
         """Rising cut points and their costs; without a price for forced cuts neighbours lie at most ``capacity`` apart."""
-        self.points += zip(points, costs)
+        self.points += points
+        self.costs += costs
         self._plan(points, costs)
 
     def _plan(self, points: list[int], costs: list[int]) -> None:
@@ -105,14 +106,15 @@ class Plan:
         return cuts
 
     def _forget(self, place: int) -> None:
-        self.points = self.points[bisect_right(self.points, (place, 1 << 60)) :]
+        k = bisect_right(self.points, place)
+        self.points, self.costs = self.points[k:], self.costs[k:]
 
     def commit(self, keep: int) -> list[int]:
         """The best way so far, but for its last ``keep`` ids, whether settled or not; what follows is planned anew from there."""
         cuts = [c for c in self.best() if c <= self.at[-1] - keep]
         self._forget(cuts[-1])
         self._start(cuts[-1])
-        self._plan([p for p, _ in self.points], [c for _, c in self.points])
+        self._plan(self.points, self.costs)
         return cuts
 
     def best(self) -> list[int]:
@@ -149,24 +151,23 @@ class Packer:
         self.ends_sentence, self.base = ends_sentence, base
         self.plan, self.given, self.sequence = Plan(capacity, FORCED_CUT), 0, 0
         self.ids, self.names, self.ends = np.zeros(0, np.uint32), [], np.zeros(0, np.int64)  # documents not yet given out whole: ids, names, places of their ends
-        self.begin, self.tried = 0, 0  # the place of the first of them; ids that were held when settled ones were last looked for
+        self.begin = 0  # the place of the first of them
 
     def add(self, names: list[int | None], ids: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Documents, their ids in a row, and where each ends."""
-        for first in range(0, len(names), 64):  # documents are many or long, so some STEP at once
-            own = ends[first : first + 64]
+        for first in range(0, len(names), 256):
+            own = ends[first : first + 256]
             start = ends[first - 1] if first else 0
             points, costs = cut_points(ids[start : own[-1]], own - start, self.ends_sentence)
             place = self.begin + len(self.ids)
             self.plan.extend((points + place).tolist(), costs.tolist())
             self.ids = np.concatenate([self.ids, ids[start : own[-1]]])
-            self.names += names[first : first + 64]
+            self.names += names[first : first + 256]
             self.ends = np.concatenate([self.ends, own - start + place])
-            if len(self.ids) - self.tried >= STEP:
+            if len(self.ids) >= HORIZON:
                 yield from self._give(self.plan.settled())
-                if len(self.ids) >= HORIZON:
-                    yield from self._give(self.plan.commit(HORIZON // 2))
-                self.tried = len(self.ids)
+                if len(self.ids) > REPLAN:
+                    yield from self._give(self.plan.commit(REPLAN))
 
     def finish(self) -> Iterator[pa.RecordBatch]:
         if self.names:
