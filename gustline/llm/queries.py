@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gustline.llm import bytebpe, decontaminate, lexical, neardup, packing, quality, simhash, substring, tokencounts, tokenfiles, topk, urls
+from gustline.llm import alignment, bytebpe, decontaminate, lexical, neardup, packing, quality, simhash, substring, tokencounts, tokenfiles, topk, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -186,6 +186,10 @@ FROM words LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_neardup": op1_neardup,
     "op2_substring": op2_substring,
@@ -199,6 +203,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_tokenfiles": op10_tokenfiles,
     "op11_lexical": op11_lexical,
     "op12_decontaminate": op12_decontaminate,
+    "op13_alignment": op13_alignment,
 }
 
 SQL: dict[str, str] = {
