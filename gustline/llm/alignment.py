@@ -295,8 +295,8 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
     linked; n_best are links whose count is the highest of their A id. Null and empty texts, and those whose bytes either side doesn't give back, have no tokens: zeros, and an empty hash.
 
     Postings, one row for each pair and block of documents (with the documents' places and multiplicities), are stored once. Their lengths, summed by pair and then compared by A id, give counts and maxima;
-    both streams then meet in a sort-merge join by pair, sorted and spillable, whose hot pairs Spark can split, as each block is a row of its own. Each task adds up what documents get, and these sums are added
-    by document. Rows are numbered once, so repeated and null ids keep a row each; an empty table gives an empty table; other columns are ignored.
+    both streams then meet in a sort-merge join by pair, sorted and spillable, whose hot pairs Spark can split, as each block is a row of its own. Then the
+    postings of a block, with their pairs' counts, go to one task, which adds up what its documents get. Rows are numbered once, so repeated and null ids keep a row each; an empty table gives an empty table; other columns are ignored.
     """
     modest_batches(docs)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
@@ -306,7 +306,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
     highest = pairs.groupBy("a").agg(F.max("count").alias("most"))
     judged = pairs.join(highest, "a").select("a", "b", "count", (F.col("count") == F.col("most")).cast("int").alias("best"))
     met = postings.join(judged.hint("merge"), ["a", "b"]).select("base", "n_docs", "places", "times", "count", "best")
-    sums = met.mapInArrow(_contributions, "row long, n_best long, count_sum long").groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    sums = met.repartition("base").mapInArrow(_contributions, "row long, n_best long, count_sum long").groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
     zero = F.lit(0).cast("long")
     rows = first.where(F.col("row").isNotNull()).select("id", "row", "n_a", "n_b", "n_groups", "n_links", "groups")
     out = rows.join(sums, "row", "left").select(F.col("id").alias(id_col), "n_a", "n_b", "n_groups", "n_links", F.coalesce("n_best", zero).alias("n_best"), F.coalesce("count_sum", zero).alias("count_sum"), F.col("groups").alias("groups_sha256"))
