@@ -112,6 +112,8 @@ class Plan:
     def commit(self, keep: int) -> list[int]:
         """The best way so far, but for its last ``keep`` ids, whether settled or not; what follows is planned anew from there."""
         cuts = [c for c in self.best() if c <= self.at[-1] - keep]
+        if not cuts:
+            return []
         self._forget(cuts[-1])
         self._start(cuts[-1])
         self._plan(self.points, self.costs)
@@ -150,8 +152,9 @@ class Packer:
     def __init__(self, capacity: int, ends_sentence: np.ndarray, base: int):
         self.ends_sentence, self.base = ends_sentence, base
         self.plan, self.given, self.sequence = Plan(capacity, FORCED_CUT), 0, 0
-        self.ids, self.names, self.ends = np.zeros(0, np.uint32), [], np.zeros(0, np.int64)  # documents not yet given out whole: ids, names, places of their ends
-        self.begin = 0  # the place of the first of them
+        self.ids = np.zeros(0, np.uint32)  # those not yet given out
+        self.names, self.ends = [], np.zeros(0, np.int64)  # documents not yet given out whole: names, places of their ends
+        self.begin = 0  # the place where the first of them begins
 
     def add(self, names: list[int | None], ids: np.ndarray, ends: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Documents, their ids in a row, and where each ends."""
@@ -159,7 +162,7 @@ class Packer:
             own = ends[first : first + 256]
             start = ends[first - 1] if first else 0
             points, costs = cut_points(ids[start : own[-1]], own - start, self.ends_sentence)
-            place = self.begin + len(self.ids)
+            place = self.given + len(self.ids)
             self.plan.extend((points + place).tolist(), costs.tolist())
             self.ids = np.concatenate([self.ids, ids[start : own[-1]]])
             self.names += names[first : first + 256]
@@ -185,13 +188,14 @@ class Packer:
         offset = left - np.r_[self.given, cuts][seq]
         names = pa.array(self.names, pa.int64()).take(pa.array(doc))
         numbers = [left - starts[doc], right - left, (self.ends - starts)[doc], self.base + self.sequence + seq, offset]
-        own = encode.id_rows(self.ids[self.given - self.begin : cuts[-1] - self.begin], edges - self.given)
+        own = encode.id_rows(self.ids[: cuts[-1] - self.given], edges - self.given)
         yield pa.RecordBatch.from_arrays([names, *(pa.array(x) for x in numbers), own], ["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
         self.sequence += len(cuts)
+        self.ids = self.ids[cuts[-1] - self.given :]
         self.given = int(cuts[-1])
         done = int(np.searchsorted(self.ends, self.given, side="right"))  # documents given out whole
         begin = int(self.ends[done - 1]) if done else self.begin
-        self.ids, self.names, self.ends, self.begin = self.ids[begin - self.begin :], self.names[done:], self.ends[done:], begin
+        self.names, self.ends, self.begin = self.names[done:], self.ends[done:], begin
 
 
 def _pack(path: str, capacity: int, end_id: int):

@@ -238,3 +238,18 @@ def test_token_files(spark):
     assert tokenfiles.token_files(spark, frame(spark, []), BYTE).count() == 0
     with pytest.raises(ValueError):
         tokenfiles._local("hdfs://somewhere/x")
+
+
+@pytest.mark.parametrize("texts", [["word " * 1_500_000], ["x" * 6_000_000], [*["A short one. "] * 50, "word " * 1_500_000, *["Another. "] * 5], ["word " * 1_200_000, "", "a"]], ids=["words", "one word", "between", "first"])
+def test_packing_of_texts_longer_than_the_horizon(texts):
+    own = encode.from_file(WORD)
+    ends_sentence = np.zeros(49408, bool)
+    ends_sentence[own.encode_column(pa.array(["."]))[0]] = True
+    packer, pieces, wanted = packing.Packer(4096, ends_sentence, 0), [], {}
+    for i, t in enumerate(texts):
+        ids, ends = own.encode_column(pa.array([t]), 2)
+        wanted[i] = ids.astype("<u4").tobytes()
+        pieces += packer.add([i], ids, ends[1:])
+        assert len(packer.ids) <= packing.HORIZON + len(ids)
+    pieces += packer.finish()
+    check_packing(pa.Table.from_batches(pieces).to_pandas().rename(columns={"id": "doc_id"}), wanted, 4096)
