@@ -7,15 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gustline.llm.common import keyed, modest_batches, ragged_index, text_bytes, text_slices
 
 #: Bytes that a filter sees, filters, bytes of a chunk, and by how much chunks start apart (so that they overlap).
 WIDTH, FILTERS, CHUNK, STRIDE = 6, 16, 256, 224
-#: The bounded sample: labelled rows of each class, and chunks of each of them (spread evenly over the whole text).
-SAMPLE_ROWS, SAMPLE_CHUNKS = 1500, 8
+#: The bounded sample: labelled rows of each class, and bytes of all their texts, of which one may have an eighth. It bounds rows; the texts of those that are in it are learned from whole.
+SAMPLE_ROWS, SAMPLE_BYTES = 1500, 32 << 20
+#: Chunks whose filters are computed at once in training.
+AT_ONCE = 2048
 #: In training, such a share of documents is cut to a random length at each step, so that short texts are learned too.
 SHORT_SHARE = 0.35
 
@@ -71,8 +73,17 @@ def probabilities(net: Network, raw: np.ndarray, rows: np.ndarray, pairs: list[n
     return 1 / (1 + np.exp(-np.clip((mean @ net.mean + most @ net.most + net.shift).astype(np.float64), -30, 30)))
 
 
+def _highest(taps: np.ndarray, x: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each filter is highest in each chunk, and how high; as in scoring, filters end with the text."""
+    span = CHUNK - WIDTH + 1
+    z = sum(np.take(taps[j], x[:, j : j + span], axis=0) for j in range(WIDTH))
+    z[np.arange(span)[None] > np.maximum(used - WIDTH, 0)[:, None]] = -1e9
+    spot = z.argmax(1)
+    return spot, np.take_along_axis(z, spot[:, None], 1)[:, 0]
+
+
 def train(chunks: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch: int = 32, rate: float = 0.02, seed: int = 7) -> Network:
-    """chunks: for each document its sampled chunks (k x CHUNK bytes, zeros behind a short text). Adam on the logistic loss."""
+    """chunks: for each document all its chunks (k x CHUNK bytes, zeros behind a short text). Adam on the logistic loss."""
     rng = np.random.default_rng(seed)
     p = {"taps": rng.normal(0, 0.15, (WIDTH, 256, FILTERS)).astype(np.float32), "bias": np.zeros(FILTERS, np.float32), "mean": rng.normal(0, 0.3, FILTERS).astype(np.float32), "most": np.zeros(FILTERS, np.float32), "shift": np.zeros(1, np.float32)}
     if not len(labels):
@@ -94,11 +105,8 @@ def train(chunks: list[np.ndarray], labels: np.ndarray, epochs: int = 12, batch:
             used = CHUNK - (x[:, ::-1] != 0).argmax(1) * (x != 0).any(1) - CHUNK * ~(x != 0).any(1)
             counts = np.bincount(row, minlength=len(docs))
             begin = np.cumsum(counts) - counts
-            span = CHUNK - WIDTH + 1
-            z = sum(np.take(p["taps"][j], x[:, j : j + span], axis=0) for j in range(WIDTH))
-            z[np.arange(span)[None] > np.maximum(used - WIDTH, 0)[:, None]] = -1e9  # as in scoring, filters end with the text
-            spot = z.argmax(1)
-            top = np.take_along_axis(z, spot[:, None], 1)[:, 0] + p["bias"]
+            spot, top = (np.concatenate(parts) for parts in zip(*(_highest(p["taps"], x[k : k + AT_ONCE], used[k : k + AT_ONCE]) for k in range(0, len(x), AT_ONCE))))
+            top = top + p["bias"]
             pooled = np.maximum(top, 0)
             mean = np.add.reduceat(pooled, begin, axis=0) / counts[:, None]
             most = np.maximum.reduceat(pooled, begin, axis=0)
@@ -126,26 +134,19 @@ def held_out(id_col) -> F.Column:
     return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(False))
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in text_slices(batch, "text"):
-            raw, rows = text_bytes(part.column("text"))
-            out = []
-            for s, e in zip(rows[:-1], rows[1:]):
-                starts = chunk_starts(int(e - s))
-                starts = starts[np.unique(np.linspace(0, len(starts) - 1, min(SAMPLE_CHUNKS, len(starts))).astype(int))]
-                grid = np.zeros((len(starts), CHUNK), np.uint8)
-                for k, a in enumerate(starts):
-                    piece = raw[s + a : min(s + a + CHUNK, e)]
-                    grid[k, : len(piece)] = piece
-                out.append(grid.tobytes())
-            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array(out, pa.binary())], ["id", "label", "chunks"])
+def chunk_grid(text: bytes) -> np.ndarray:
+    """All chunks of a text, zeros behind its end."""
+    starts = chunk_starts(len(text))
+    data = np.zeros(starts[-1] + CHUNK, np.uint8)
+    data[: len(text)] = np.frombuffer(text, np.uint8)
+    return data[starts[:, None] + np.arange(CHUNK)]
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Network:
-    """Trains on at most ``sample_rows`` rows of each class, those with the smallest hash of their id, none of them held out.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES) -> Network:
+    """Trains on whole texts of at most ``sample_rows`` rows of each class, those with the smallest hash of their id, none of them held out.
 
-    What reaches the driver is bounded: 2 x sample_rows x SAMPLE_CHUNKS x CHUNK bytes. Rows with a null or other label than 0 and 1 are left out; without
+    What reaches the driver is bounded: of each class so many rows, in that order, as have half of ``sample_bytes`` together; a row with an eighth of ``sample_bytes`` by itself is not
+    learned from. Rows with a null or other label than 0 and 1 are left out; of rows that share an id the one with the smallest hash of its text is taken. Without
     any labelled row the network answers 0.5 for every text.
     """
     rows = keyed(docs, id_col, text_col)
@@ -153,10 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label"))
     parts = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(sample_rows) for k in (0, 1)]
     chosen = parts[0].unionAll(parts[1])  # at most 2 x sample_rows rows, so it may be broadcast
-    sample = rows.join(F.broadcast(chosen), "id").select("id", "label", "text").mapInArrow(_sampled, "id long, label int, chunks binary").dropDuplicates(["id"]).toPandas()
-    sample = sample.sort_values("id")
-    grids = [np.frombuffer(b, np.uint8).reshape(-1, CHUNK) for b in sample["chunks"]]
-    return train(grids, sample["label"].to_numpy(dtype=np.int64))
+    size = F.octet_length("text")
+    found = rows.join(F.broadcast(chosen), "id").where(size <= sample_bytes // 8).groupBy("id", "label").agg(F.min(F.struct("key", "text")).alias("x")).select("id", "label", "x.text")
+    before = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    sample = found.withColumn("_upto", F.sum(size).over(before)).where(F.col("_upto") <= sample_bytes // 2).drop("_upto").toPandas().sort_values("id")
+    return train([chunk_grid(t.encode()) for t in sample["text"]], sample["label"].to_numpy(dtype=np.int64))
 
 
 def quality_scores(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,14 +183,16 @@ def _scored(net: Network):
 
 
 def keep_good(docs: DataFrame, net: Network, text_col: str = "text") -> DataFrame:
-    """The documents whose score is 0.5 or more, with all their columns (null and empty texts are scored like others)."""
+    """The documents whose score is 0.5 or more, with all their columns, whatever their names (null and empty texts are scored like others)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = net.pairs()
         for batch in batches:
-            for part in text_slices(batch, text_col, 1 << 18):
-                good = probabilities(net, *text_bytes(part.column(text_col)), pairs) >= 0.5
+            for part in text_slices(batch, "text", 1 << 18):
+                good = probabilities(net, *text_bytes(part.column("text")), pairs) >= 0.5
                 yield part.filter(pa.array(good))
 
     modest_batches(docs)
-    return docs.mapInArrow(run, docs.schema)
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*([F.col(f"`{c}`") for c in others] or [F.lit(True).alias("none")])).alias("rest"), F.col(f"`{text_col}`").alias("text"))
+    return rows.mapInArrow(run, rows.schema).select(*(F.col("text").alias(c) if c == text_col else F.col("rest")[c].alias(c) for c in docs.columns))

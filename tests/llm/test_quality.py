@@ -68,3 +68,32 @@ def test_keep_good_keeps_columns(spark):
     df = spark.createDataFrame([(1, "a", None, 3), (2, None, "s", None)], "doc_id long, text string, source string, n_chars long")
     out = quality.keep_good(df, quality.Network(net().taps * 0, net().bias, net().mean, net().most, 1.0))
     assert out.columns == df.columns and sorted(map(tuple, out.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_whole_texts_are_learned_from_and_accuracy_holds_at_all_lengths(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.quality_scores(docs, quality.fit(docs, labels)).join(labels, "doc_id").join(docs.select("doc_id", F.length("text").alias("size")), "doc_id").where("held_out").toPandas()
+    right = rows.predicted == rows.quality
+    for low, high in ((0, 500), (500, 2000), (2000, 20_000), (20_000, 1 << 40)):
+        some = (rows["size"] >= low) & (rows["size"] < high)
+        print(low, high, some.sum(), right[some].mean())
+        assert right[some].mean() >= 0.97
+    text = bytes(range(1, 256)) * 30
+    assert {*quality.chunk_grid(text)[-1][:10]} != {0} and quality.chunk_grid(b"").shape == (1, quality.CHUNK)
+
+
+def test_a_repeated_id_gives_one_network_in_any_order(spark):
+    rows = [(i % 40, f"{'good text' if i % 2 else 'bad bad'} {i} " * (i % 5 + 1)) for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    nets = [quality.fit(spark.createDataFrame(r, "doc_id long, text string").repartition(n), labels) for r, n in ((rows, 1), (rows[::-1], 5))]
+    assert np.array_equal(nets[0].taps, nets[1].taps)
+
+
+def test_the_bound_is_on_rows_and_never_cuts_a_text(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda chunks, labels: seen.append([len(c) for c in chunks]))
+    docs = spark.createDataFrame([(i, "x" * (100_000 if i == 4 else 5000)) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    quality.fit(docs, labels, sample_bytes=50_000)
+    whole = len(quality.chunk_starts(5000))
+    assert 4 <= len(seen[0]) <= 10 and {*seen[0]} == {whole}
