@@ -18,6 +18,8 @@ from gustline.llm.components import connected_components
 BUCKET_BLOCK = 2048
 #: A pair of trie nodes with at most this many pairs of members is compared directly.
 LEAF_PAIRS = 256
+#: Rows of sorted cells (of at most two blocks each) that a task gathers before it joins those that are whole.
+HELD_ROWS = 1 << 16
 
 
 def fingerprint(text: str | bytes, shingle_words: int = 4) -> int:
@@ -44,7 +46,8 @@ def _fingerprints(shingle_words: int):
         for batch in batches:
             for part in text_slices(batch, "text"):
                 fps = np.array([fingerprint(t.as_buffer().to_pybytes(), shingle_words) for t in part.column("text")], dtype=np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fps.view(np.int64))], ["id", "fp"])
+                rest = [c for c in part.schema.names if c != "text"]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(fps.view(np.int64))], [*rest, "fp"])
 
     return run
 
@@ -171,11 +174,7 @@ def _reordered(v: np.ndarray, order: list[tuple[int, int]]) -> np.ndarray:
 
 
 def _trie_join(max_bits: int, plan: list[tuple[list[tuple[int, int]], int]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
+    def joined(table: pa.Table) -> Iterator[pa.RecordBatch]:
         band, cell, fp = (table.column(c).to_numpy() for c in ("band", "cell", "fp"))
         for b, (order_of_bits, width) in enumerate(plan):
             pick = band == b
@@ -192,6 +191,21 @@ def _trie_join(max_bits: int, plan: list[tuple[list[tuple[int, int]], int]]):
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(own[j])], ["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by cell: some whole cells at a time are in memory, however many a partition has."""
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= HELD_ROWS:
+                table = pa.Table.from_batches(held)
+                cells = table.column("cell").to_numpy()
+                last = int(np.searchsorted(cells, cells[-1]))
+                yield from joined(table.slice(0, last))
+                held, rows = table.slice(last).to_batches(), rows - last
+        if rows:
+            yield from joined(pa.Table.from_batches(held))
+
     return run
 
 
@@ -222,7 +236,19 @@ def hamming_links(fps: DataFrame, max_bits: int = 4, block: int = BUCKET_BLOCK)
     dealt = dealt.withColumn("mine", mine).withColumn("other", F.explode(others))
     cell = F.xxhash64("band", "value", F.least("mine", "other"), F.greatest("mine", "other"), "k")
     dealt = dealt.select("band", cell.alias("cell"), "fp")
-    return dealt.repartition("cell").mapInArrow(_trie_join(max_bits, plan), "a long, b long")
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_trie_join(max_bits, plan), "a long, b long")
+
+
+def fingerprints(rows: DataFrame, shingle_words: int = 4) -> DataFrame:
+    """Rows with ``text`` -> all their other columns, and ``fp``."""
+    others = [f"`{c}` {t}" for c, t in rows.dtypes if c != "text"]
+    return rows.mapInArrow(_fingerprints(shingle_words), ", ".join([*others, "fp long"]))
+
+
+def fingerprint_classes(fps: DataFrame, max_bits: int = 4) -> DataFrame:
+    """Distinct fingerprints (fp) -> (fp, label): classes of those that links connect."""
+    labels = connected_components(hamming_links(fps, max_bits))
+    return fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 4, max_bits: int = 4) -> DataFrame:
@@ -236,10 +262,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     shared_dir(docs.sparkSession)
     rows = keyed(docs, id_col, text_col).select("id", "text")
-    fps = cut(rows.mapInArrow(_fingerprints(shingle_words), "id long, fp long"))
+    fps = cut(fingerprints(rows, shingle_words))
     nodes = cut(fps.groupBy("fp").agg(F.min("id").alias("least")))
-    labels = connected_components(hamming_links(nodes.select("fp"), max_bits))
-    named = cut(nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")))
+    named = cut(nodes.join(fingerprint_classes(nodes.select("fp"), max_bits), "fp"))
     # both sides of the next join are tables, so that it can split a class with very many fingerprints
     classes = stored(named.groupBy("label").agg(F.min("least").alias("component_id")), "classes")
     by_fp = named.join(classes, "label").select("fp", "component_id")

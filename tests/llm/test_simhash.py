@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -104,3 +105,17 @@ def test_table_against_brute_force(spark):
     want = classes(docs.doc_id.tolist(), [plain_fingerprint(t) for t in docs.text])
     assert dict(zip(got.doc_id, got.component_id)) == want
     assert isinstance(got, pd.DataFrame)
+
+
+def test_cells_are_joined_a_few_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    near = base ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
+    values = np.unique(np.r_[base, near]).view(np.int64)
+    table = pa.table({"band": np.zeros(len(values), np.int32), "cell": np.sort(rng.integers(0, 40, len(values))), "fp": values})
+    plan = simhash.tries(4, 10, 2048)[:1]
+    plan = [(plan[0][0], 0)]
+    links = lambda: sorted((a, b) for x in simhash._trie_join(4, plan)(table.to_batches(max_chunksize=7)) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist()))
+    whole = links()
+    monkeypatch.setattr(simhash, "HELD_ROWS", 20)
+    assert links() == whole
