@@ -363,7 +363,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     if window <= ANCHOR_WORDS:
         raise ValueError(f"window must exceed {ANCHOR_WORDS} words")
-    rest = F.struct(*(F.col(f"`{c}`") for c in carry or []), F.lit(True).alias("_")).alias("rest")
+    rest = F.struct(*([F.col(f"`{c}`") for c in carry or []] or [F.lit(True).alias("none")])).alias("rest")
     spans = stored(repeated_passages(keyed(docs, id_col, text_col), window), "spans")
     text = F.col(f"`{text_col}`")
     whole = docs.select(rest, F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("key"))

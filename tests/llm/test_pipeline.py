@@ -3,8 +3,11 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
+from pyspark.sql import functions as F  # noqa: E402
+
 import corpus_pipeline  # noqa: E402
 from gustline.llm import quality, queries, simhash  # noqa: E402
+from gustline.llm.common import stored  # noqa: E402
 from tests.llm.test_simhash import classes, plain_fingerprint  # noqa: E402
 from tests.llm.test_substring import brute  # noqa: E402
 
@@ -55,4 +58,30 @@ def test_stages_take_nulls_and_empty_tables(spark):
 
 def test_every_operator_is_registered():
     found = {int(n[2:].split("_")[0]) for n in queries.QUERIES}
-    assert found == set(range(1, 11)) and np.all([callable(f) for f in queries.QUERIES.values()]) and simhash
+    assert found == set(range(1, 14)) and np.all([callable(f) for f in queries.QUERIES.values()]) and simhash
+
+
+def test_columns_of_any_name_come_through_every_stage(spark):
+    names = ["_text", "_row", "_", "a.b", "row", "text_1", "rest", "id", "key", "fp", "label", "t1", "spans", "x y`"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    table = docs.select("*", *(F.concat(F.lit(f"{k}-"), F.col("doc_id").cast("string")).alias(n) for k, n in enumerate(names)))
+    names = [n for n in names if "`" not in n]
+    table = table.select(*docs.columns, *(F.col(f"`{n}`") for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        table = stored(stage(spark, table, SF), name)
+        assert table.columns == [*docs.columns, *names]
+        for k, n in enumerate(names):
+            assert table.where(F.col(f"`{n}`") != F.concat(F.lit(f"{k}-"), F.col("doc_id").cast("string"))).isEmpty()
+    assert corpus_pipeline.STAGES[-1][1](spark, table, SF).count() >= table.count() > 50
+
+
+def test_long_texts_pass_every_stage(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    long = [(1, "word " * 2_000_000), (2, "x" * 10_000_000), (3, "Other words stand here. " * 80_000)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in long], "doc_id long, text string, lang string, source string, n_chars long")
+    assert quality.quality_scores(docs, quality.fit(docs, labels)).count() == 3
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        docs = stored(stage(spark, docs, SF), "long")
+    assert {r.doc_id: r.n_chars for r in docs.select("doc_id", "n_chars").collect()} == {i: len(t) for i, t in long}
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF).groupBy("doc_id", "doc_tokens").agg(F.sum("length").alias("n")).collect()
+    assert len(pieces) == 3 and all(r.n == r.doc_tokens for r in pieces)
