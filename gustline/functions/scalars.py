@@ -67,6 +67,11 @@ def month_label(t: Column) -> Column:
     return F.date_format(t, "yyyy-MM")
 
 
+def apart(x: Column) -> Column:
+    """The value, computed once: a projection that asks for the partition's number is one that the optimizer neither merges with the next nor writes into a filter."""
+    return F.when(F.spark_partition_id() >= 0, x)
+
+
 def to_utc_strict(local: Column, zone: str) -> Column:
     """A wall-clock time (no zone) in UTC; null where the zone has no such time or has it twice."""
     utc = F.to_utc_timestamp(local, zone).cast("timestamp_ntz")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gustline.functions import scalars as S
 from gustline.operators import joins
+from gustline.shared import shared_dir
 from gustline.sources.tables import logical_hash
 
 
@@ -26,7 +27,7 @@ def source_records(rows: DataFrame, zone: str, area: str, kind: str) -> DataFram
     Reasons come in order: a row out of scope or without an id has no other reason, and so on; ``valid`` rows have none.
     """
     scope, named = in_scope(F.col("area"), F.col("kind"), area, kind), known_id(F.col("id"))
-    out = rows.withColumns({"plant": F.trim("id"), "t": S.to_utc_strict(F.col("local"), zone), "gen": S.local_number(F.col("value"))})
+    out = rows.withColumns({"plant": F.trim("id"), "t": S.apart(S.to_utc_strict(F.col("local"), zone)), "gen": S.local_number(F.col("value"))})
     good = scope & named
     numbered = F.col("gen").isNotNull() & (F.col("gen") >= 0)
     checked = good & F.col("t").isNotNull() & numbered
@@ -46,7 +47,8 @@ def generation_hourly(records: DataFrame, members: DataFrame) -> DataFrame:
     """(plant, t, gen, records, cap, factor) of the valid records: exact copies count once, other records of a plant and hour are summed; hours whose
     active members have no capacity are left out. Nothing is imputed or clipped."""
     once = records.where("valid").select("plant", "t", "gen").distinct()
-    hourly = once.groupBy("plant", "t").agg(F.sum("gen").alias("gen"), F.count("*").alias("records"))
+    shared_dir(records.sparkSession)
+    hourly = once.groupBy("plant", "t").agg(F.sum("gen").alias("gen"), F.count("*").alias("records")).checkpoint()  # both sides of the join below read it
     capacity = joins.capacity_by_validity(hourly, members, ["plant"], "t", "member", "cap").drop("members")
     out = hourly.join(capacity, ["plant", "t"], "left").withColumn("factor", S.ratio(F.col("gen"), F.col("cap")))
     return out.where((F.col("cap") > 0) & (F.col("cap") < float("inf")))
