@@ -162,10 +162,18 @@ def mllib_residual_model(spark, sf_dir):
 
 @query()
 def model_approval(spark, sf_dir):
-    """Whether a linear correction of the power curve beats it on the last 15 percent of hours."""
+    """Whether the boosted correction of mllib_residual_model beats the power curve on the last 15 percent of hours."""
     from gustline.operators.ml import approval, residual_model
 
-    return approval(residual_model(scored(spark, sf_dir), "linear"))
+    return approval(residual_model(scored(spark, sf_dir)))
+
+
+@query()
+def refit_approval(spark, sf_dir):
+    """The better of two boosted corrections over folds, fitted again on the first 85 percent of hours, and whether it beats the power curve on the rest."""
+    from gustline.operators.ml import refit_approval as run
+
+    return run(scored(spark, sf_dir), {"flat": {"depth": 2}, "deep": {"depth": 4}})
 
 
 @query()
