@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gustline.functions import wind as W
-from gustline.operators import fitted
+from gustline.operators import fitted, holdout, splits
+from gustline.plans.evaluate import _SALES, _sales
 from gustline.plans.registry import SCORED, query, rounded, scored
 
 _BLOCK = lambda k: f"CASE WHEN rank < (n % {k}) * (n // {k} + 1) THEN rank // (n // {k} + 1) ELSE n % {k} + (rank - (n % {k}) * (n // {k} + 1)) // (n // {k}) END"
@@ -65,6 +66,56 @@ def walk_forward_tuning(spark, sf_dir):
     return rounded(fitted.ranked(fitted.ridge_path(rows, "hour_idx", folds, "residual", ["u", "v"], _PENALTIES)))
 
 
+_HELD = f"""{_RANK}, sp AS (SELECT hour_idx AS start FROM rk WHERE rank = n * 70 // 100), late AS (SELECT max(plant) AS late FROM scored),
+sm AS (SELECT {_SUMS}, {_TARGET("t", "((gen - base) / 450)")} FROM scored, sp, late WHERE hour_idx < start - 6 AND plant <> late), be AS (SELECT {", ".join(f"{x} AS b{k}" for k, x in enumerate(_solved("t", "1.0")))} FROM sm),
+ju AS (SELECT plant, hour_idx, gen, base, CASE WHEN plant = late THEN 'unknown_group' ELSE 'model' END AS reason, CASE WHEN plant = late THEN base WHEN w < 3 OR w >= 25 THEN 0.0::DOUBLE ELSE least(greatest(base + (b0 + b1 * u + b2 * v) * 450, 0), 427.5::DOUBLE) END AS hybrid
+FROM scored, sp, late, be WHERE hour_idx >= start)"""
+
+
+def _held_out(spark, sf_dir):
+    """The last 30 percent of hours; one plant has no earlier rows."""
+    rows = _residuals(spark, sf_dir)
+    (start,) = splits.ranked_hours(rows, "hour_idx").where(F.col("rank") == F.floor(F.col("n") * 70 / 100)).select("hour_idx").first()
+    (late,) = rows.agg(F.max("plant")).first()
+    training, later = rows.where((F.col("hour_idx") < start) & (F.col("plant") != late)), rows.where(F.col("hour_idx") >= start)
+    return holdout.independent_holdout(training, later, "plant", "hour_idx", ["u", "v"], "residual")
+
+
+@query(f"WITH {_HELD} SELECT plant, hour_idx, reason, round(base, 6) AS base, round(hybrid, 6) AS hybrid FROM ju")
+def independent_holdout(spark, sf_dir):
+    """A correction fitted on the first 70 percent of hours, on the rest, with a plant that it does not know."""
+    return rounded(_held_out(spark, sf_dir).select("plant", "hour_idx", "reason", "base", "hybrid"))
+
+
+_USED = "reason = 'model'"
+_LEVEL = lambda c, where: f"SELECT '{c}' AS cohort, CAST(sum(n) AS BIGINT) AS rows, count(*) AS hours, sum(eb) / sum(n) AS mae_before, sum(ea) / sum(n) AS mae_after, sum(abs(b - y)) / sum(abs(y)) AS wape_before, sum(abs(a - y)) / sum(abs(y)) AS wape_after FROM (SELECT hour_idx, count(*) AS n, sum(gen) AS y, sum(base) AS b, sum(hybrid) AS a, sum(abs(base - gen)) AS eb, sum(abs(hybrid - gen)) AS ea FROM ju WHERE {where} GROUP BY 1)"
+
+
+@query(f"WITH {_HELD}, c AS ({_LEVEL('all', 'true')} UNION ALL {_LEVEL('known', _USED)}) SELECT cohort, rows, hours, round(mae_before, 6) AS mae_before, round(mae_after, 6) AS mae_after, round(wape_before, 6) AS wape_before, round(wape_after, 6) AS wape_after FROM c")
+def holdout_metrics(spark, sf_dir):
+    """The hold-out's errors, over all rows and over those that the model was used for."""
+    return rounded(holdout.cohort_metrics(_held_out(spark, sf_dir), "hour_idx", "gen", "base", "hybrid"))
+
+
+_MONTHS = f"""{_SALES}, two AS (SELECT *, base * 0.98 AS verified FROM sales), ea AS (SELECT month, CAST(hour AS DATE) AS d, plant, sum(gen) AS gen, sum(verified) AS verified, sum(base) AS b, sum(pred) AS a FROM two GROUP BY 1, 2, 3),
+da AS (SELECT month, d, count(*) AS plants, sum(gen) AS gen, sum(verified) AS verified, sum(b) AS b, sum(a) AS a FROM ea GROUP BY 1, 2),
+tg AS (SELECT month, d, plants, 'gen' AS target, abs(gen) AS size, abs(b - gen) AS eb, abs(a - gen) AS er FROM da UNION ALL SELECT month, d, plants, 'verified', abs(verified), abs(b - verified), abs(a - verified) FROM da),
+sl AS (SELECT *, row_number() OVER (PARTITION BY month, target ORDER BY d) - 1 AS slot, count(*) OVER (PARTITION BY month, target) AS n FROM tg),
+pl AS (SELECT month, count(DISTINCT plant) AS p FROM ea GROUP BY 1), tot AS (SELECT month, target, count(*) AS days, CAST(sum(plants) AS BIGINT) AS keys, sum(size) AS size, sum(eb) AS eb, sum(er) AS er FROM sl GROUP BY 1, 2),
+st AS (SELECT tot.*, CASE WHEN days = day(last_day(CAST(month || '-01' AS DATE))) AND keys = p * days THEN 'complete' ELSE 'incomplete' END AS status FROM tot JOIN pl USING (month)),
+dr AS (SELECT s.month, s.target, k.sample, (k.sample * 7919 + s.slot * 104729 + 12345) * 48271 % 2147483647 % s.n AS slot FROM sl s JOIN st ON st.month = s.month AND st.target = s.target AND status = 'complete', (SELECT unnest(range(200)) AS sample) k),
+ga AS (SELECT dr.month, dr.target, dr.sample, (sum(eb) - sum(er)) / sum(size) AS g FROM dr JOIN sl ON sl.month = dr.month AND sl.target = dr.target AND sl.slot = dr.slot GROUP BY 1, 2, 3),
+iv AS (SELECT month, target, quantile_cont(g, 0.025) AS low, quantile_cont(g, 0.975) AS high FROM ga GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_MONTHS} SELECT month, target, status, days, keys, CASE WHEN status = 'complete' THEN round(eb / size, 6) END AS wape_before, CASE WHEN status = 'complete' THEN round(er / size, 6) END AS wape_after, CASE WHEN status = 'complete' THEN round((eb - er) / size, 6) END AS gain, round(low, 6) AS low, round(high, 6) AS high
+FROM st LEFT JOIN iv USING (month, target)""")
+def month_backtest(spark, sf_dir):
+    """What lines were charged after their discount against their list price, month by month, judged by the charge and by another target in its place."""
+    rows = _sales(spark, sf_dir).withColumns({"verified": F.col("base") * 0.98, "day": F.to_date("hour")})
+    return rounded(holdout.month_backtest(rows, "month", "day", "plant", ["gen", "verified"], "base", "pred"))
+
+
 @query()
 def boosted_tuning(spark, sf_dir):
     """Two boosted corrections over two folds, each ended by its stopping block, the rounds they took, and the rounds that a refit of the better one would make."""
