@@ -10,26 +10,35 @@ from gustline.sources import case, fixedwidth
 
 _BUS = """lpad(CAST(k AS VARCHAR), 5, ' ') || CASE k % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'M' ELSE ' ' END || CASE WHEN k % 4 = 0 THEN 'D' ELSE 'L' END || (k % 4) || CASE k % 3 WHEN 0 THEN 'A ' WHEN 1 THEN 'B ' ELSE '  ' END || rpad('BUS ' || k, 12, ' ') || '  '
  || CASE k % 3 WHEN 0 THEN '1000' WHEN 1 THEN '.985' ELSE '    ' END || lpad(CAST(k % 90 AS VARCHAR), 4, ' ') || lpad(printf('%.1f', (k * 7 % 1000) / 10.0::DOUBLE), 5, ' ')"""
-_LINES = f"""s AS (SELECT s_nationkey AS nation, s_suppkey % 100000 AS k FROM supplier), lines AS (
-SELECT n_nationkey AS nation, CAST(0 AS BIGINT) AS ord, '(Versao do Anarede: 12.03.0' || (n_nationkey % 4) AS text FROM nation UNION ALL SELECT n_nationkey, 1, 'TITU' FROM nation UNION ALL SELECT n_nationkey, 2, '( a note' FROM nation
-UNION ALL SELECT n_nationkey, 3, 'Study ANO ' || (2000 + n_nationkey) || ' base' FROM nation UNION ALL SELECT n_nationkey, 4, 'DGBT' FROM nation UNION ALL SELECT n_nationkey, 5, '(G ( kV)' FROM nation UNION ALL SELECT n_nationkey, 6, 'A   69.0' FROM nation
-UNION ALL SELECT n_nationkey, 7, 'B  138.0' FROM nation UNION ALL SELECT n_nationkey, 8, '99999' FROM nation UNION ALL SELECT n_nationkey, 9, 'DBAR' FROM nation UNION ALL SELECT n_nationkey, 10, '{case.BUS_HEAD}' FROM nation
-UNION ALL SELECT nation, 1000000 + k, {_BUS} FROM s UNION ALL SELECT n_nationkey, 2000000, '99999' FROM nation UNION ALL SELECT n_nationkey, 2000001, 'DGER' FROM nation
-UNION ALL SELECT nation, 3000000 + k, lpad(CAST(k AS VARCHAR), 5, ' ') || '   ' || lpad('1.5', 6, ' ') || ' ' || lpad(printf('%.1f', 20.0::DOUBLE + k % 50), 6, ' ') FROM s WHERE k % 2 = 1 UNION ALL SELECT n_nationkey, 4000000, '99999' FROM nation UNION ALL SELECT n_nationkey, 4000001, 'DGEI' FROM nation
+#: Suppliers of all nations in a row that share one file for each nation, so that a file has about a thousand of them and bus numbers don't repeat in it, however large the table.
+FILE_SUPPLIERS = 25_000
+_FILES = f"heads AS (SELECT n_nationkey FROM nation UNION SELECT CAST(s_nationkey + 25 * (s_suppkey // {FILE_SUPPLIERS}) AS INTEGER) FROM supplier)"
+_LINES = f"""{_FILES}, s AS (SELECT CAST(s_nationkey + 25 * (s_suppkey // {FILE_SUPPLIERS}) AS INTEGER) AS nation, s_suppkey % {FILE_SUPPLIERS} AS k FROM supplier), lines AS (
+SELECT n_nationkey AS nation, CAST(0 AS BIGINT) AS ord, '(Versao do Anarede: 12.03.0' || (n_nationkey % 4) AS text FROM heads UNION ALL SELECT n_nationkey, 1, 'TITU' FROM heads UNION ALL SELECT n_nationkey, 2, '( a note' FROM heads
+UNION ALL SELECT n_nationkey, 3, 'Study ANO ' || (2000 + n_nationkey % 25) || ' base' FROM heads UNION ALL SELECT n_nationkey, 4, 'DGBT' FROM heads UNION ALL SELECT n_nationkey, 5, '(G ( kV)' FROM heads UNION ALL SELECT n_nationkey, 6, 'A   69.0' FROM heads
+UNION ALL SELECT n_nationkey, 7, 'B  138.0' FROM heads UNION ALL SELECT n_nationkey, 8, '99999' FROM heads UNION ALL SELECT n_nationkey, 9, 'DBAR' FROM heads UNION ALL SELECT n_nationkey, 10, '{case.BUS_HEAD}' FROM heads
+UNION ALL SELECT nation, 1000000 + k, {_BUS} FROM s UNION ALL SELECT n_nationkey, 2000000, '99999' FROM heads UNION ALL SELECT n_nationkey, 2000001, 'DGER' FROM heads
+UNION ALL SELECT nation, 3000000 + k, lpad(CAST(k AS VARCHAR), 5, ' ') || '   ' || lpad('1.5', 6, ' ') || ' ' || lpad(printf('%.1f', 20.0::DOUBLE + k % 50), 6, ' ') FROM s WHERE k % 2 = 1 UNION ALL SELECT n_nationkey, 4000000, '99999' FROM heads UNION ALL SELECT n_nationkey, 4000001, 'DGEI' FROM heads
 UNION ALL SELECT nation, 5000000 + 2 * k + g, rpad(lpad(CAST(k AS VARCHAR), 5, ' ') || ' A' || CASE WHEN g = 1 THEN 'S' ELSE 'N' END || ' ' || lpad(CAST(g + 1 AS VARCHAR), 2, ' ') || ' ' || CASE WHEN k % 4 = 0 THEN 'D' ELSE 'L' END || lpad(CAST(k % 9 AS VARCHAR), 3, ' ') || '  1  1' || lpad(printf('%.1f', g + 0.5::DOUBLE), 5, ' '), 69, ' ')
- || CASE WHEN g = 1 THEN '99999' ELSE '12345' END || '  40.5' FROM s, range(0, 2) t(g) WHERE k % 3 = 0 UNION ALL SELECT n_nationkey, 6000000, '99999' FROM nation UNION ALL SELECT n_nationkey, 6000001, 'FIM' FROM nation)"""
+ || CASE WHEN g = 1 THEN '99999' ELSE '12345' END || '  40.5' FROM s, range(0, 2) t(g) WHERE k % 3 = 0 UNION ALL SELECT n_nationkey, 6000000, '99999' FROM heads UNION ALL SELECT n_nationkey, 6000001, 'FIM' FROM heads)"""
+
+
+def _suppliers(spark, sf_dir):
+    """(nation, k): the number of each supplier's file (the nation's, plus 25 for each run of suppliers before), and its number there."""
+    run = F.floor(F.col("s_suppkey") / FILE_SUPPLIERS)
+    return table(spark, sf_dir, "supplier").select((F.col("s_nationkey") + run * 25).cast("int").alias("nation"), (F.col("s_suppkey") % FILE_SUPPLIERS).alias("k"))
 
 
 def _files(spark, sf_dir):
-    """(nation, body): the text of each nation's file."""
-    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"))
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 100000).alias("k"))
+    """(nation, body): the text of each file, of about a thousand suppliers of a nation."""
+    rows = _suppliers(spark, sf_dir)
+    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation")).union(rows.select("nation")).distinct()
     k = F.col("k")
     text = lambda c, n: F.lpad(c.cast("string"), n, " ")
     one = lambda x, n: F.lpad(F.format_string("%.1f", x.cast("double")), n, " ")
     pick = lambda *options: F.when(k % 3 == 0, options[0]).when(k % 3 == 1, options[1]).otherwise(options[2])
     n = F.col("nation")
-    fixed = [(0, F.concat(F.lit("(Versao do Anarede: 12.03.0"), (n % 4).cast("string"))), (1, F.lit("TITU")), (2, F.lit("( a note")), (3, F.concat(F.lit("Study ANO "), (n + 2000).cast("string"), F.lit(" base"))), (4, F.lit("DGBT")), (5, F.lit("(G ( kV)")), (6, F.lit("A   69.0")), (7, F.lit("B  138.0"))]
+    fixed = [(0, F.concat(F.lit("(Versao do Anarede: 12.03.0"), (n % 4).cast("string"))), (1, F.lit("TITU")), (2, F.lit("( a note")), (3, F.concat(F.lit("Study ANO "), (n % 25 + 2000).cast("string"), F.lit(" base"))), (4, F.lit("DGBT")), (5, F.lit("(G ( kV)")), (6, F.lit("A   69.0")), (7, F.lit("B  138.0"))]
     fixed += [(8, F.lit("99999")), (9, F.lit("DBAR")), (10, F.lit(case.BUS_HEAD)), (2000000, F.lit("99999")), (2000001, F.lit("DGER")), (4000000, F.lit("99999")), (4000001, F.lit("DGEI")), (6000000, F.lit("99999")), (6000001, F.lit("FIM"))]
     head = nations.select("nation", F.explode(F.array(*(F.struct(F.lit(o).cast("long").alias("ord"), t.alias("text")) for o, t in fixed))).alias("x")).select("nation", "x.*")
     state = F.when(k % 4 == 0, "D").otherwise("L")
@@ -58,7 +67,7 @@ def case_line_endings(spark, sf_dir):
     return case.line_endings(_lines(spark, sf_dir), "nation")
 
 
-@query("""SELECT n_nationkey AS nation, '12.03.0' || (n_nationkey % 4) AS version, n_nationkey % 4 = 0 AS compatible, 'Study ANO ' || (2000 + n_nationkey) || ' base' AS title, 2000 + n_nationkey AS year, true AS complete FROM nation""")
+@query(f"""WITH {_FILES} SELECT n_nationkey AS nation, '12.03.0' || (n_nationkey % 4) AS version, n_nationkey % 4 = 0 AS compatible, 'Study ANO ' || (2000 + n_nationkey % 25) || ' base' AS title, 2000 + n_nationkey % 25 AS year, true AS complete FROM heads""")
 def case_header(spark, sf_dir):
     return case.headers(_lines(spark, sf_dir), "nation")
 
@@ -93,7 +102,7 @@ def generation_targets(spark, sf_dir):
 
 
 def _values(spark, sf_dir, extra: bool):
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 100000).cast("int").alias("bus"))
+    rows = _suppliers(spark, sf_dir).select("nation", F.col("k").cast("int").alias("bus"))
     if extra:
         rows = rows.unionAll(rows.where("bus % 10 = 3").withColumn("bus", F.col("bus") + 50000))
     return rows.withColumn("mw", F.col("bus") * 11 % 500 / 10)
