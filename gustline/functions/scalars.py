@@ -134,5 +134,6 @@ def implied_number(text: Column, whole: int) -> Column:
 
 
 def year_in(text: Column, pattern: str) -> Column:
-    """The year (19xx or 20xx) that the pattern's first group finds, else null."""
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("int")
+    """The first number from 1900 to 2099 that the pattern's first group finds, else null."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: x.cast("int"))
+    return F.get(F.filter(found, lambda x: x.between(1900, 2099)), F.lit(0))

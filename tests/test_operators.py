@@ -239,3 +239,14 @@ def test_memberships_without_an_id_are_an_error(spark):
     rows = spark.createDataFrame([(None, "m", "c", "NE", "2024-01-01", None)], "group string, member string, code string, area string, start string, end string")
     with pytest.raises(Exception, match="without an id"):
         registers.read_membership(rows, "NE").collect()
+
+
+def test_years_in_titles_and_names(spark):
+    from gustline.functions import scalars as S
+    from gustline.sources import case
+
+    rows = [("Study ANO 2030 base", 2030), ("ano: 1999", 1999), ("ANO 20301", None), ("ANO 3050 ANO 2040", 2040), ("PLANO 2030", None), ("", None), (None, None)]
+    names = [("case-2031.pwf", 2031), ("a1234b2020.pwf", 2020), ("20201.pwf", None), ("x", None), (None, None)]
+    for pattern, cases in ((case._STUDY, rows), (case._IN_NAME, names)):
+        df = spark.createDataFrame(cases, "text string, want int")
+        assert all(r.got == r.want for r in df.withColumn("got", S.year_in(F.col("text"), pattern)).collect())
