@@ -137,3 +137,16 @@ def year_in(text: Column, pattern: str) -> Column:
     """The first number from 1900 to 2099 that the pattern's first group finds, else null."""
     found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: x.cast("int"))
     return F.get(F.filter(found, lambda x: x.between(1900, 2099)), F.lit(0))
+
+
+def significant(x: Column, digits: int = 9) -> Column:
+    """A number as text with so many significant digits and no zeros at the end (``%.9g`` in C): plain from 0.0001 to below 10^digits, with an exponent elsewhere; minus zero is 0.
+
+    Below 2.3e-308, where doubles lose digits, a number has only the digits that tell it from its neighbours (5e-324 is 4.9e-324).
+    """
+    x = x.cast("double")
+    text = F.format_string(f"%.{digits - 1}e", x)
+    cut = lambda s: F.regexp_replace(s, r"\.?0+$", "")
+    mantissa, power = F.substring_index(text, "e", 1), F.substring_index(text, "e", -1)
+    plain = cut(F.format_string("%s", text.try_cast(f"decimal({2 * digits + 4},{digits + 3})")))
+    return F.when(x.isNull(), None).when(F.isnan(x), "nan").when(F.abs(x) == float("inf"), F.when(x > 0, "inf").otherwise("-inf")).when(x == 0, "0").when(power.try_cast("int").between(-4, digits - 1), plain).otherwise(F.concat(cut(mantissa), F.lit("e"), power))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,20 +73,30 @@ def source_url(base: str, kind: str, year: Column, month: Column, earliest: int)
     return F.when(year >= earliest, F.format_string(f"{base}/{kind}/%d_%02d.csv", year, month))
 
 
-def staged(df: DataFrame, path: str, kind: str = "parquet", **options) -> None:
-    """Writes beside the final place and renames, so that readers see all of an output or none; an output that is there already is an error."""
-    spark = df.sparkSession
+def _in_place(spark: SparkSession, path: str):
+    """The file system and the final place of an output that must not be there yet."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if files.exists(target):
         raise ContractError(f"there is an output at {path}")
+    return files, target
+
+
+def staged_folder(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Lets ``write`` fill a folder beside the final place and renames it, so that readers see all of it or none; an output that is there already is an error."""
+    files, target = _in_place(spark, path)
     part = f"{path}._part-{uuid.uuid4().hex[:12]}"
-    df.write.format(kind).options(**options).save(part)
+    write(part)
     files.mkdirs(target.getParent())
     if not files.rename(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(part), target):
         raise ContractError(f"{path} could not be put in place")
 
 
+def staged(df: DataFrame, path: str, kind: str = "parquet", **options) -> None:
+    """Writes beside the final place and renames, so that readers see all of an output or none; an output that is there already is an error."""
+    staged_folder(df.sparkSession, path, df.write.format(kind).options(**options).save)
+
+
 def with_manifest(df: DataFrame, path: str, facts: DataFrame, kind: str = "csv", **options) -> None:
     """Writes a table and, beside it as JSON, what is known about it (a few rows)."""
     staged(df, path, kind, **options)
