@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gustline.functions import wind as W
-from gustline.operators import fitted, holdout, splits
+from gustline.operators import fitted, holdout, paired, splits
 from gustline.plans.evaluate import _SALES, _sales
 from gustline.plans.registry import SCORED, query, rounded, scored
 
@@ -116,6 +116,42 @@ def month_backtest(spark, sf_dir):
     return rounded(holdout.month_backtest(rows, "month", "day", "plant", ["gen", "verified"], "base", "pred"))
 
 
+_PAIRS = [("base", "ridge"), ("base", "effect"), ("ridge", "effect")]
+_THREE = f"""{_RANK}, bl AS (SELECT hour_idx, {_BLOCK(4)} AS fold FROM rk), st AS (SELECT fold, min(hour_idx) AS a, max(hour_idx) AS z, min(hour_idx) - 6 AS cutoff FROM bl WHERE fold > 0 GROUP BY 1),
+sm AS (SELECT fold, {_SUMS}, {_TARGET("y", "((gen - base) / 450)")}, {_TARGET("d", "w")} FROM scored, st WHERE hour_idx < cutoff GROUP BY 1),
+be AS (SELECT fold, {", ".join(f"{x} AS {t}b{k}" for t in "yd" for k, x in enumerate(_solved(t, "1.0")))} FROM sm),
+lo AS (SELECT st.fold, (gen - base) / 450 - (yb0 + yb1 * u + yb2 * v) AS y, w - (db0 + db1 * u + db2 * v) AS d FROM scored JOIN st ON hour_idx < cutoff JOIN be ON be.fold = st.fold), th AS (SELECT fold, sum(d * y) / sum(d * d) AS theta FROM lo GROUP BY 1),
+kn AS (SELECT plant, min(hour_idx) AS since FROM scored GROUP BY 1),
+co AS (SELECT s.plant, s.hour_idx, st.fold, s.gen, s.base, w, CASE WHEN since < cutoff THEN 'model' ELSE 'unknown_group' END AS reason, yb0 + yb1 * u + yb2 * v AS r, yb0 + yb1 * u + yb2 * v + theta * (w - (db0 + db1 * u + db2 * v)) AS e
+FROM scored s JOIN st ON s.hour_idx BETWEEN a AND z JOIN be ON be.fold = st.fold JOIN th ON th.fold = st.fold JOIN kn ON kn.plant = s.plant),
+es AS (SELECT plant, hour_idx, CAST(fold AS INTEGER) AS fold, gen, reason, base, CASE WHEN reason <> 'model' THEN base WHEN w < 3 OR w >= 25 THEN 0.0::DOUBLE ELSE least(greatest(base + r * 450, 0), 427.5::DOUBLE) END AS ridge,
+CASE WHEN reason <> 'model' THEN base WHEN w < 3 OR w >= 25 THEN 0.0::DOUBLE ELSE least(greatest(base + e * 450, 0), 427.5::DOUBLE) END AS effect FROM co)"""
+
+
+def _three(spark, sf_dir):
+    rows = _residuals(spark, sf_dir)
+    return paired.fold_estimates(rows, "hour_idx", "plant", fitted.expanding(rows, "hour_idx", 3, 6), "residual", "w", ["u", "v"])
+
+
+@query(f"WITH {_THREE} SELECT plant, hour_idx, fold, reason, round(base, 6) AS base, round(ridge, 6) AS ridge, round(effect, 6) AS effect FROM es")
+def fold_estimates(spark, sf_dir):
+    """The power curve, a ridge correction of it and one with the wind's effect, on the same later rows of three folds."""
+    return rounded(_three(spark, sf_dir).select("plant", "hour_idx", "fold", "reason", "base", "ridge", "effect"))
+
+
+@query(f"""WITH {_THREE}, dy AS (SELECT fold AS own, hour_idx // 24 AS day, count(*) AS n, sum(abs(base - gen)) AS e_base, sum(abs(ridge - gen)) AS e_ridge, sum(abs(effect - gen)) AS e_effect FROM es GROUP BY 1, 2),
+pa AS ({" UNION ALL ".join(f"SELECT own, day, n, '{a}' AS before, '{b}' AS after, e_{a} AS ea, e_{b} AS eb FROM dy" for a, b in _PAIRS)}), lv AS (SELECT own AS fold, * FROM pa UNION ALL SELECT 0, * FROM pa),
+sl AS (SELECT *, row_number() OVER (PARTITION BY fold, before, after ORDER BY own, day) - 1 AS slot, count(*) OVER (PARTITION BY fold, before, after) AS days FROM lv),
+tt AS (SELECT fold, before, after, CAST(sum(n) AS BIGINT) AS rows, count(*) AS days, sum(ea) / sum(n) AS mae_before, sum(eb) / sum(n) AS mae_after, (sum(ea) - sum(eb)) / sum(ea) AS gain FROM sl GROUP BY 1, 2, 3),
+dr AS (SELECT fold, before, after, k.sample, (k.sample * 7919 + slot * 104729 + 12345) * 48271 % 2147483647 % days AS slot FROM sl, (SELECT unnest(range(200)) AS sample) k),
+ga AS (SELECT fold, before, after, sample, (sum(ea) - sum(eb)) / sum(ea) AS g FROM dr JOIN sl USING (fold, before, after, slot) GROUP BY 1, 2, 3, 4),
+iv AS (SELECT fold, before, after, quantile_cont(g, 0.025) AS low, quantile_cont(g, 0.975) AS high FROM ga GROUP BY 1, 2, 3)
+SELECT fold, before, after, rows, days, round(mae_before, 6) AS mae_before, round(mae_after, 6) AS mae_after, round(gain, 6) AS gain, round(low, 6) AS low, round(high, 6) AS high, days < 10 AS underpowered FROM tt JOIN iv USING (fold, before, after)""")
+def fold_comparison(spark, sf_dir):
+    """Each of the three estimates against those before it, by fold and over all folds, with intervals over days."""
+    return rounded(paired.fold_comparison(_three(spark, sf_dir), "fold", "hour_idx", "gen", ["base", "ridge", "effect"]))
+
+
 @query()
 def boosted_tuning(spark, sf_dir):
     """Two boosted corrections over two folds, each ended by its stopping block, the rounds they took, and the rounds that a refit of the better one would make."""
