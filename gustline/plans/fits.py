@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gustline.functions import wind as W
-from gustline.operators import fitted, holdout, paired, splits
+from gustline.operators import fitted, holdout, paired, splits, stored
 from gustline.plans.evaluate import _SALES, _sales
 from gustline.plans.registry import SCORED, query, rounded, scored
+from gustline.shared import fresh_path
 
 _BLOCK = lambda k: f"CASE WHEN rank < (n % {k}) * (n // {k} + 1) THEN rank // (n // {k} + 1) ELSE n % {k} + (rank - (n % {k}) * (n // {k} + 1)) // (n // {k}) END"
 _RANK = f"{SCORED}, hrs AS (SELECT DISTINCT hour_idx FROM scored), rk AS (SELECT hour_idx, row_number() OVER (ORDER BY hour_idx) - 1 AS rank, count(*) OVER () AS n FROM hrs)"
@@ -72,11 +73,16 @@ ju AS (SELECT plant, hour_idx, gen, base, CASE WHEN plant = late THEN 'unknown_g
 FROM scored, sp, late, be WHERE hour_idx >= start)"""
 
 
+def _start_and_late(rows):
+    (start,) = splits.ranked_hours(rows, "hour_idx").where(F.col("rank") == F.floor(F.col("n") * 70 / 100)).select("hour_idx").first()
+    (late,) = rows.agg(F.max("plant")).first()
+    return start, late
+
+
 def _held_out(spark, sf_dir):
     """The last 30 percent of hours; one plant has no earlier rows."""
     rows = _residuals(spark, sf_dir)
-    (start,) = splits.ranked_hours(rows, "hour_idx").where(F.col("rank") == F.floor(F.col("n") * 70 / 100)).select("hour_idx").first()
-    (late,) = rows.agg(F.max("plant")).first()
+    start, late = _start_and_late(rows)
     training, later = rows.where((F.col("hour_idx") < start) & (F.col("plant") != late)), rows.where(F.col("hour_idx") >= start)
     return holdout.independent_holdout(training, later, "plant", "hour_idx", ["u", "v"], "residual")
 
@@ -87,6 +93,33 @@ def independent_holdout(spark, sf_dir):
     return rounded(_held_out(spark, sf_dir).select("plant", "hour_idx", "reason", "base", "hybrid"))
 
 
+_KEPT = f"""{_HELD}, er AS (SELECT count(*) AS rows, avg(abs(base - gen)) AS base_mae, avg(abs(hybrid - gen)) AS hybrid_mae FROM ju)"""
+
+
+def _stored(spark, sf_dir):
+    """A model that was fitted on the first 70 percent of hours, without one plant, written and loaded again; and all rows."""
+    rows = _residuals(spark, sf_dir)
+    start, late = _start_and_late(rows)
+    path = fresh_path(spark, "model")
+    stored.save(rows.where((F.col("hour_idx") < start - 6) & (F.col("plant") != late)), rows.where(F.col("hour_idx") >= start), path, "plant", "hour_idx", ["u", "v"], "residual")
+    return stored.load(spark, path), rows
+
+
+@query(f"""WITH {_KEPT}, al AS (SELECT plant, hour_idx, base, CASE WHEN hybrid_mae >= base_mae THEN 'not_approved' WHEN plant = late THEN 'unknown_group' ELSE 'model' END AS reason, CASE WHEN w < 3 OR w >= 25 THEN 0.0::DOUBLE ELSE least(greatest(base + (b0 + b1 * u + b2 * v) * 450, 0), 427.5::DOUBLE) END AS p FROM scored, late, be, er)
+SELECT plant, hour_idx, reason, round(CASE WHEN reason = 'model' THEN p ELSE base END, 6) AS hybrid FROM al""")
+def stored_estimates(spark, sf_dir):
+    """A stored correction, checked and loaded, over all rows."""
+    model, rows = _stored(spark, sf_dir)
+    return rounded(model.estimate(rows, "plant").select("plant", "hour_idx", "reason", "hybrid"))
+
+
+@query(f"WITH {_KEPT} SELECT rows, round(base_mae, 6) AS base_mae, round(hybrid_mae, 6) AS hybrid_mae FROM er")
+def stored_reevaluation(spark, sf_dir):
+    """The stored correction judged again on the rows that its evaluation recorded."""
+    model, rows = _stored(spark, sf_dir)
+    return rounded(stored.reevaluate(model, rows, "plant", "hour_idx"))
+
+
 _USED = "reason = 'model'"
 _LEVEL = lambda c, where: f"SELECT '{c}' AS cohort, CAST(sum(n) AS BIGINT) AS rows, count(*) AS hours, sum(eb) / sum(n) AS mae_before, sum(ea) / sum(n) AS mae_after, sum(abs(b - y)) / sum(abs(y)) AS wape_before, sum(abs(a - y)) / sum(abs(y)) AS wape_after FROM (SELECT hour_idx, count(*) AS n, sum(gen) AS y, sum(base) AS b, sum(hybrid) AS a, sum(abs(base - gen)) AS eb, sum(abs(hybrid - gen)) AS ea FROM ju WHERE {where} GROUP BY 1)"
 
