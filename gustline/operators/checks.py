@@ -23,14 +23,19 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
-def find_column(df: DataFrame, names: list[str]) -> str:
-    """The column that has one of the names, whatever its case, marks on letters or outer space."""
+def find_name(have: list[str], names: list[str]) -> str:
+    """The one of what is there that has one of the names, whatever its case, marks on letters or outer space."""
     flat = lambda s: s.translate(str.maketrans(MARKED, FOLDED)).strip().casefold()
-    have = {flat(c): c for c in df.columns}
+    known = {flat(c): c for c in have}
     for name in names:
-        if flat(name) in have:
-            return have[flat(name)]
-    raise ContractError(f"none of {names} in {df.columns}")
+        if flat(name) in known:
+            return known[flat(name)]
+    raise ContractError(f"none of {names} in {have}")
+
+
+def find_column(df: DataFrame, names: list[str]) -> str:
+    """The column that has one of the names, as ``find_name`` finds it."""
+    return find_name(df.columns, names)
 
 
 def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:

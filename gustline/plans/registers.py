@@ -8,7 +8,7 @@ from gustline.functions import wind as W
 from gustline.operators import buses, joins, metrics
 from gustline.plans.registry import query, rounded, table
 from gustline.shared import fresh_path
-from gustline.sources import registers, tables
+from gustline.sources import registers, sheets, tables
 
 
 def _comma(x, digits=2):
@@ -92,6 +92,30 @@ def bus_mapping(spark, sf_dir):
     return rounded(registers.bus_mapping(members, sheet), 4)
 
 
+_SHEET = {"bus": ["numero da barra", "bus"], "code": ["CEG"], "kind": ["tipo da usina"], "state": ["Estado"], "share_mw": ["potencia (MW)"]}
+
+
+@query("""WITH m AS (SELECT c_nationkey AS plant, c_custkey AS place, 'EOL.CV.R.0' || c_custkey % 50 AS code_root, abs(c_acctbal) AS capacity FROM customer),
+x AS (SELECT 'EOL.CV.R.0' || p_partkey % 30 AS code_root, p_partkey % 40 AS bus, CASE WHEN p_partkey % 4 <> 0 THEN 'S' || p_partkey % 3 END AS state, p_retailprice AS share_mw FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 40 > 0 AND p_partkey % 11 <> 0 AND p_partkey % 13 <> 0),
+j AS (SELECT m.*, x.bus, x.state, x.share_mw FROM m LEFT JOIN x USING (code_root)), st AS (SELECT plant, count(*) AS places, count(CASE WHEN ok THEN 1 END) AS mapped FROM (SELECT plant, place, bool_or(bus IS NOT NULL) AS ok FROM j GROUP BY 1, 2) GROUP BY 1),
+g AS (SELECT plant, place, bus, state, round(sum(share_mw), 4) AS share_mw, round(min(capacity), 4) AS capacity, min(code_root) AS code_root FROM j WHERE bus IS NOT NULL GROUP BY 1, 2, 3, 4) SELECT * FROM g JOIN st USING (plant)""")
+def sheet_bus_mapping(spark, sf_dir):
+    """Parts written as workbooks of a thousand rows, read back by their headers, and mapped onto the buses of each nation's places."""
+    k = F.col("p_partkey")
+    share = F.when(k % 11 == 0, F.lit("n/d")).when(k % 13 == 0, F.lit("-1")).otherwise(F.col("p_retailprice").cast("string"))
+    rows = table(spark, sf_dir, "part").select(
+        F.floor(k / 1000).alias("book"), k.alias("_order"), (k % 40).alias("bus"), F.when(k % 5 == 0, "UFV").otherwise(" eol ").alias("kind"), F.concat(F.lit("eol.cv.r.0"), (k % 30).cast("string"), F.lit(".1")).alias("code"),
+        F.when(k % 4 != 0, F.concat(F.lit("S"), (k % 3).cast("string"))).alias("state"), share.alias("share_mw"),
+    )
+    folder = fresh_path(spark, "books")
+    headers = {"state": "Estado", "bus": " Número da Barra", "code": "CEG", "kind": "Tipo da Usina ", "share_mw": "Potência (MW)"}
+    sheets.write_sheets(rows, folder, "book", headers, ["_order"], "Usinas").count()
+    sheet = registers.read_bus_sheet(sheets.read_sheets(spark, folder, _SHEET, "Usinas"), "eol")
+    c = F.col("c_custkey")
+    members = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("plant"), c.alias("place"), F.concat(F.lit("EOL.CV.R.0"), (c % 50).cast("string")).alias("code_root"), F.abs("c_acctbal").alias("capacity"))
+    return rounded(registers.bus_mapping(members, sheet), 4)
+
+
 @query("""WITH m AS (SELECT c_nationkey AS plant, abs(c_acctbal) AS cap, CASE WHEN c_custkey % 6 <> 0 THEN c_custkey % 8 END AS bus FROM customer) SELECT plant, round(100 * sum(CASE WHEN bus IS NOT NULL THEN cap ELSE 0 END) / nullif(sum(cap), 0), 6) AS coverage, count(DISTINCT bus) AS buses FROM m GROUP BY 1""")
 def mapping_coverage(spark, sf_dir):
     k = F.col("c_custkey")

@@ -58,6 +58,14 @@ def frequencies(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(F.explode(pairs).alias("x")).select("x.*").groupBy("column", "value").agg(F.count("*").alias("rows"))
 
 
+def read_bus_sheet(rows: DataFrame, kind: str) -> DataFrame:
+    """Sheet rows as text (code, kind, state, bus, share_mw) -> (code_root, bus, state, share_mw) of a technology, where bus and power are positive numbers and there is a code."""
+    require(rows, ["code", "kind", "state", "bus", "share_mw"])
+    bus, share, root = S.plain_number(F.col("bus")), S.plain_number(F.col("share_mw")), S.code_root(F.col("code"))
+    wanted = (F.upper(F.trim("kind")) == kind.upper()) & (bus > 0) & (share > 0) & (root != "")
+    return rows.where(wanted).select(root.alias("code_root"), bus.cast("long").alias("bus"), "state", share.alias("share_mw"))
+
+
 def bus_mapping(members: DataFrame, sheet: DataFrame, root: str = "code_root") -> DataFrame:
     """Members of plants joined to all buses of their code root, summed by plant, place and bus (null fields are groups too), with how many of the plant's places
     have a bus. members: plant, place, code_root, capacity; sheet: code_root, bus, state, share_mw."""
