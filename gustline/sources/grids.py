@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from gustline.functions import wind as W
 from gustline.operators import joins, metrics
 from gustline.operators.checks import ContractError, few
+from gustline.shared import shared_dir
 from gustline.sources import files
 
 #: Names that coordinates go by (fixed values).
@@ -273,6 +274,8 @@ def weather_at(grid: DataFrame, axes: DataFrame, places: DataFrame, values: list
     number; a place that has several relations at a time counts once, by the one that began last. step: an upper bound of the distance between neighbours on an axis. Places
     meet cells in a join on both coordinates; they are broadcast where a count shows that there are few.
     """
+    shared_dir(grid.sparkSession)
+    axes = axes.checkpoint()  # both axes are asked more than once
     east = axes.where("axis = 'longitude'").select("point")
     turned = not east.where("point > 180").isEmpty()
     x = W.longitude_360(F.col("longitude")) if turned else F.col("longitude")
@@ -280,7 +283,7 @@ def weather_at(grid: DataFrame, axes: DataFrame, places: DataFrame, values: list
     near = joins.nearest_on_axis(joins.nearest_on_axis(known, "latitude", axes.where("axis = 'latitude'").select("point"), "point", step), "_x", east, "point", step)
     cell_lon = W.longitude_180(F.col("nearest__x"))
     weight = F.when((F.col("capacity") > 0) & (F.col("capacity") < float("inf")), F.col("capacity").cast("double")).otherwise(F.lit(1.0))
-    cells = near.select("plant", "place", F.col("nearest_latitude").alias("_lat"), F.col("nearest__x").alias("_lon"), cell_lon.alias("grid_longitude"), W.haversine_km(F.col("latitude"), F.col("longitude"), F.col("nearest_latitude"), cell_lon).alias("km"), weight.alias("_w"), "start", "end")
+    cells = near.select("plant", "place", F.col("nearest_latitude").alias("_lat"), F.col("nearest__x").alias("_lon"), cell_lon.alias("grid_longitude"), W.haversine_km(F.col("latitude"), F.col("longitude"), F.col("nearest_latitude"), cell_lon).alias("km"), weight.alias("_w"), "start", "end").checkpoint()  # counted, then joined
     met = grid.join(few(cells, 100_000), (F.col("latitude") == F.col("_lat")) & (F.col("longitude") == F.col("_lon")))
     active = (F.col("start").isNull() | (F.col("t") >= F.col("start"))) & (F.col("end").isNull() | (F.col("t") < F.col("end") + F.make_dt_interval(F.lit(1))))
     held = ["version", *values, "_lat", "grid_longitude", "km", "_w"]
