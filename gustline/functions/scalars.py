@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and what they fold to (fixed values).
-MARKED = "ÁÀÂÃÄÅÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑÝáàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-FOLDED = "AAAAAAEEEEIIIIOOOOOUUUUCNYaaaaaaeeeeiiiiooooouuuucnyy"
+def _plain(form: str) -> tuple[str, str]:
+    """Characters that a Unicode form takes apart into one ASCII character and marks, and those characters."""
+    apart = {c: "".join(x for x in unicodedata.normalize(form, c) if not unicodedata.combining(x)) for c in map(chr, [*range(0xA0, 0x2000), *range(0xFF01, 0xFF5F)])}
+    single = {c: x for c, x in apart.items() if len(x) == 1 and x.isascii()}
+    return "".join(single), "".join(single.values())
+
+
+#: Letters with marks and what they fold to; the second pair has characters of like use too (raised digits, wide letters).
+MARKED, FOLDED = _plain("NFD")
+LIKE, PLAIN = _plain("NFKD")
 
 
 def finite(x: Column) -> Column:
@@ -29,8 +38,8 @@ def local_number(text: Column) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Without marks on letters, upper case, trimmed."""
-    return F.upper(F.trim(F.translate(text, MARKED, FOLDED)))
+    """Without marks, whether they are part of a letter or follow it, in plain characters, upper case, trimmed; characters that stand for several letters stay."""
+    return F.upper(F.trim(F.regexp_replace(F.translate(text, LIKE, PLAIN), r"\p{M}+", "")))
 
 
 def code_root(code: Column) -> Column:

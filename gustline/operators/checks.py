@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gustline.functions.scalars import MARKED, FOLDED
-
 
 class ContractError(ValueError):
     """A table breaks its contract."""
@@ -25,7 +25,7 @@ def require(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def find_name(have: list[str], names: list[str]) -> str:
     """The one of what is there that has one of the names, whatever its case, marks on letters or outer space."""
-    flat = lambda s: s.translate(str.maketrans(MARKED, FOLDED)).strip().casefold()
+    flat = lambda s: "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c)).strip().casefold()
     known = {flat(c): c for c in have}
     for name in names:
         if flat(name) in known:

@@ -59,6 +59,18 @@ def conflicting_records(records: DataFrame) -> DataFrame:
     return records.where("valid").groupBy("plant", "t").agg(F.count_distinct("gen").alias("values")).where("values > 1")
 
 
+def on_half_hours(t: Column, exact: bool = True) -> Column:
+    """Whether a time is a full or half hour, to the microsecond, or only by its minute; null counts as no."""
+    return F.coalesce(t == S.half_hour_floor(t) if exact else F.minute(t).isin(0, 30), F.lit(False))
+
+
+def half_hour_records(rows: DataFrame, name: str, time: str, exact: bool = True) -> DataFrame:
+    """Rows with plant, half and ``fault``, the first reason not to use them: no id, no time, a time off the half hours. Nothing is floored into a half hour that it doesn't name."""
+    t = F.col(time)
+    fault = F.when(~known_id(F.col(name)), "without_id").when(t.isNull(), "bad_time").when(~on_half_hours(t, exact), "off_grid")
+    return rows.withColumns({"plant": F.trim(name), "half": S.half_hour_floor(t), "fault": fault})
+
+
 def restriction_hourly(halves: DataFrame, members: DataFrame, values: list[str], available: str, intervals: int = 2, tolerance: float = 1.05) -> DataFrame:
     """Half hours (plant, half, values...) -> hours with means, the number of half hours, capacity and availability.
 

@@ -88,6 +88,35 @@ def restriction_hourly(spark, sf_dir):
     return rounded(out.withColumn("cap", F.round("cap", 2)))
 
 
+_TIMES = """r AS (SELECT CASE WHEN event_id % 31 = 0 THEN ' -' ELSE 'P' || user_id % 10 END AS id, CASE WHEN event_id % 37 <> 0 THEN CASE WHEN event_id % 3 = 0 THEN time_bucket(INTERVAL 30 MINUTE, ts) WHEN event_id % 3 = 1 THEN time_bucket(INTERVAL 30 MINUTE, ts) + INTERVAL 7 SECOND ELSE date_trunc('minute', ts) END END AS t, value FROM events),
+f AS (SELECT *, trim(id) AS plant, CASE WHEN trim(id) = '-' THEN 'without_id' WHEN t IS NULL THEN 'bad_time' WHEN t <> time_bucket(INTERVAL 30 MINUTE, t) THEN 'off_grid' END AS fault, minute(t) IN (0, 30) AS by_minute FROM r)"""
+
+
+def _timed(spark, sf_dir):
+    """A third of the events at half hours, a third seven seconds behind, the others at any minute; some without an id or a time."""
+    k, half = F.col("event_id"), S.half_hour_floor(F.col("ts"))
+    at = F.when(k % 3 == 0, half).when(k % 3 == 1, half + F.make_dt_interval(secs=F.lit(7))).otherwise(F.date_trunc("minute", "ts").cast("timestamp_ntz"))
+    return table(spark, sf_dir, "events").select(F.when(k % 31 == 0, " -").otherwise(F.concat(F.lit("P"), (F.col("user_id") % 10).cast("string"))).alias("id"), F.when(k % 37 != 0, at).alias("t"), F.col("value").alias("gen"))
+
+
+@query(f"""WITH {_TIMES} SELECT plant, count(*) AS rows, count(CASE WHEN fault = 'without_id' THEN 1 END) AS without_id, count(CASE WHEN fault = 'bad_time' THEN 1 END) AS bad_time, count(CASE WHEN fault = 'off_grid' THEN 1 END) AS off_grid, count(CASE WHEN fault = 'off_grid' AND by_minute THEN 1 END) AS by_minute FROM f GROUP BY 1""")
+def half_hour_report(spark, sf_dir):
+    """Records off the half hours, and how many of them a look at the minute alone would let pass."""
+    out = observed.half_hour_records(_timed(spark, sf_dir), "id", "t")
+    off = F.col("fault") == "off_grid"
+    counts = [F.count_if(F.col("fault") == c).alias(c) for c in ("without_id", "bad_time", "off_grid")]
+    return out.groupBy("plant").agg(F.count("*").alias("rows"), *counts, F.count_if(off & observed.on_half_hours(F.col("t"), exact=False)).alias("by_minute"))
+
+
+@query(f"""WITH {_TIMES}, {_MEM}, each AS (SELECT plant, t AS half, max(value) AS gen, count(DISTINCT value) AS n FROM f WHERE fault IS NULL GROUP BY 1, 2), hours AS (SELECT plant, date_trunc('hour', half) AS t, avg(gen) AS gen, count(*) AS intervals, max(n) > 1 AS conflict FROM each GROUP BY 1, 2),
+caps AS (SELECT plant, t, sum(cap) AS cap FROM hours JOIN mem USING (plant) WHERE {_ACTIVE} GROUP BY 1, 2)
+SELECT plant, t AS hour, round(gen, 6) AS gen, intervals, conflict, round(cap, 2) AS cap, round(least(gen / cap, 1), 6) AS availability FROM hours JOIN caps USING (plant, t) WHERE intervals >= 2 AND cap > 0 AND gen / cap BETWEEN 0 AND 1.05""")
+def restriction_on_grid(spark, sf_dir):
+    """Hours of the records that lie on half hours."""
+    rows = observed.half_hour_records(_timed(spark, sf_dir), "id", "t").where("fault IS NULL")
+    return rounded(observed.restriction_hourly(rows, _members(spark, sf_dir), ["gen"], "gen").withColumn("cap", F.round("cap", 2)))
+
+
 _WEATHER = f"{PANEL}, weather AS (SELECT plant, hour, u, v, 280 + v * 8 AS temperature, 95000 + u * 900 AS pressure FROM panel)"
 _POSSIBLE = "sqrt(u * u + v * v) <= 50 AND temperature BETWEEN 150 AND 350 AND pressure BETWEEN 50000 AND 120000"
 
@@ -289,7 +318,7 @@ def predict_records(spark, sf_dir):
 @query(f"""WITH {PANEL} SELECT count(*) AS rows, 0 AS repeated, 0 AS null_u, 0 AS null_v, count(CASE WHEN u NOT BETWEEN -20 AND 20 THEN 1 END) AS range_u, count(CASE WHEN v NOT BETWEEN -50 AND 50 THEN 1 END) AS range_v, 0 AS off_hour, count(DISTINCT hour) AS hours,
 round(count(DISTINCT hour) / 720.0, 6) AS coverage, false AS valid FROM panel""")
 def weather_partition_quality(spark, sf_dir):
-    return rounded(clean.weather_quality(panel(spark, sf_dir), ["plant"], "hour", {"u": (-20, 20), "v": (-50, 50)}, expected=720).drop("nothing")).withColumns({c: F.col(c).cast("int") for c in ("repeated", "null_u", "null_v", "off_hour")})
+    return rounded(clean.weather_quality(panel(spark, sf_dir), ["plant"], "hour", {"u": (-20, 20), "v": (-50, 50)}, expected=720)).withColumns({c: F.col(c).cast("int") for c in ("repeated", "null_u", "null_v", "off_hour")})
 
 
 @query("""WITH v AS (SELECT o_custkey AS k, CASE WHEN o_orderkey % 3 = 0 THEN 1 ELSE 5 END AS version, CASE WHEN o_orderkey % 7 <> 0 THEN o_totalprice END AS x FROM orders), a AS (SELECT k, max(CASE WHEN version = 1 THEN x END) AS best, max(CASE WHEN version = 5 THEN x END) AS spare FROM v GROUP BY 1)

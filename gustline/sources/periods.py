@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gustline.functions import scalars as S
 from gustline.operators.checks import ContractError
+from gustline.sources import files
 from gustline.sources.tables import canonical_json
 
 
@@ -125,6 +126,17 @@ def weather_lines(rows: DataFrame) -> Column:
 
 #: Columns that a user's file must have (fixed values), ranges of the others, and how many rows it may have.
 REQUIRED, RANGES, MOST_ROWS = ["plant", "hour", "u", "v", "availability"], {"temperature": (150, 350), "pressure": (50_000, 120_000), "hub": (10, 300)}, 50_000
+MOST_BYTES = 5 * 1024 * 1024
+
+
+def check_file(spark: SparkSession, path: str, most: int = MOST_ROWS, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """The rows of a user's file as ``check_lines`` gives them. A file that is empty or too long is refused by its size, before it is read; one within the bound is read as one text."""
+    size = files.listed(spark, path).agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    if size["files"] != 1 or not 0 < size["bytes"] <= most_bytes:
+        raise ContractError(f"one file of 1 to {most_bytes} bytes, not {size['files']} of {size['bytes']}")
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r\n|\r|\n")).alias("at", "line"))
+    header = lines.where("at = 0").first()["line"]
+    return check_lines(lines.where("at > 0").select((F.col("at") + 1).alias("row"), "line"), header, most)
 
 
 def check_lines(lines: DataFrame, header: str, most: int = MOST_ROWS) -> DataFrame:

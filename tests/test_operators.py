@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from gustline.functions import scalars as S
 from gustline.functions import wind as W
-from gustline.operators import buses, checks, clean, joins, splits, windows
-from gustline.sources import fixedwidth, tables
+from gustline.operators import buses, checks, clean, joins, observed, splits, windows
+from gustline.sources import fixedwidth, periods, tables
 
 
 def one(df):
@@ -250,3 +250,29 @@ def test_years_in_titles_and_names(spark):
     for pattern, cases in ((case._STUDY, rows), (case._IN_NAME, names)):
         df = spark.createDataFrame(cases, "text string, want int")
         assert all(r.got == r.want for r in df.withColumn("got", S.year_in(F.col("text"), pattern)).collect())
+
+
+def test_marks_of_any_form_fold(spark):
+    texts = ["Ca\u0303o", "\u1ea4\u0219\u0111", "N\u00ba 2\u00b2", "\uff37\uff49", "\u0418\u0439", None, ""]
+    assert values(spark, S.fold(F.col("t")), [(t,) for t in texts], "t string") == ["CAO", "AS\u0110", "NO 22", "WI", "\u0418\u0419", None, ""]
+    assert checks.find_name(["N\u00famero\u00a0", "\ufb01m"], ["numero"]) == "N\u00famero\u00a0" and checks.find_name(["\ufb01m"], ["FIM"]) == "\ufb01m"
+
+
+def test_half_hours_are_named_not_floored(spark):
+    rows = [("a", "2024-01-01 00:30:00"), ("a", "2024-01-01 00:30:00.000001"), ("a", "2024-01-01 00:15:00"), (" - ", "2024-01-01 00:00:00"), ("a", None), (None, None)]
+    df = spark.createDataFrame(rows, "id string, t string").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    exact = [r["fault"] for r in observed.half_hour_records(df, "id", "t").collect()]
+    assert exact == [None, "off_grid", "off_grid", "without_id", "bad_time", "without_id"]
+    assert [r["fault"] for r in observed.half_hour_records(df, "id", "t", exact=False).collect()] == [None, None, *exact[2:]]
+
+
+def test_user_files_are_refused_by_their_size(spark, tmp_path):
+    path = tmp_path / "f.csv"
+    path.write_bytes("\ufeffplant; hour;u;v;availability\r\na;2024-01-01T00:00:00Z;1;2;0.5\r\n\r\na;2024-01-01T00:00:00Z;1;2;0.5\r\nb;2024-01-01T01:00:00Z;x;2;0.5".encode())
+    got = [(r["row"], r["plant"], r["error"]) for r in periods.check_file(spark, str(path)).orderBy("row").collect()]
+    assert got == [(2, "a", None), (4, "a", "repeated"), (5, "b", "u")]
+    with pytest.raises(checks.ContractError):
+        periods.check_file(spark, str(path), most_bytes=100)
+    (tmp_path / "empty.csv").touch()
+    with pytest.raises(checks.ContractError):
+        periods.check_file(spark, str(tmp_path / "empty.csv"))
