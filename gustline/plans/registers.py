@@ -137,6 +137,18 @@ def share_faults(spark, sf_dir):
     return rounded(buses.check_shares(shares, "plant"))
 
 
+@query("""WITH d AS (SELECT c_custkey % 300 AS bus, sum(abs(c_acctbal)) AS mw FROM customer WHERE c_custkey % 300 <> 7 GROUP BY 1), s AS (SELECT bus, CASE WHEN bus % 5 = 0 THEN mw + 1 ELSE mw END AS submitted FROM d WHERE bus % 4 <> 0 UNION ALL SELECT 1000 + bus, 5.0 FROM d WHERE bus % 50 = 1)
+SELECT bus, round(CASE WHEN bus % 9 = 1 AND bus < 1000 THEN 2 * submitted ELSE submitted END, 4) AS submitted, round(mw, 4) AS mw, CASE WHEN submitted IS NULL THEN 'missing' WHEN mw IS NULL THEN 'unknown' WHEN bus % 9 = 1 THEN 'repeated' WHEN bus % 5 = 0 THEN 'differs' END AS fault FROM d FULL JOIN s USING (bus)""")
+def recomputed_buses(spark, sf_dir):
+    """Nations' balances dealt to buses by shares, against a submission that lacks some buses, invents some, repeats some and changes some."""
+    own = table(spark, sf_dir, "customer").where("c_custkey % 300 <> 7").select(F.col("c_nationkey").alias("plant"), (F.col("c_custkey") % 300).alias("bus"), F.abs("c_acctbal").alias("mw"))
+    values, shares = own.groupBy("plant").agg(F.sum("mw").alias("mw")), buses.allocation_shares(own, "plant", "bus", "mw").drop("mw")
+    bus, dealt = F.col("bus"), own.groupBy("bus").agg(F.sum("mw").alias("mw"))
+    sent = dealt.where(bus % 4 != 0).withColumn("mw", F.when(bus % 5 == 0, F.col("mw") + 1).otherwise(F.col("mw")))
+    sent = sent.unionByName(sent.where(bus % 9 == 1)).unionByName(dealt.where(bus % 50 == 1).select((bus + 1000).alias("bus"), F.lit(5.0).alias("mw")))
+    return rounded(buses.recomputed(sent, values, shares, "plant", "bus", "mw"), 4)
+
+
 @query("""WITH p AS (SELECT c_custkey, -16 + (c_custkey * 37 % 1500) / 100.0::DOUBLE AS lat, -45 + (c_custkey * 53 % 1000) / 100.0::DOUBLE AS lon FROM customer), g AS (SELECT unnest(range(0, 61)) AS i), h AS (SELECT unnest(range(0, 1440)) AS j),
 a AS (SELECT c_custkey, lat, lon, i FROM p, g QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY abs(-16 + i * 0.25::DOUBLE - lat), i) = 1), b AS (SELECT c_custkey, j FROM p, h QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY abs(j * 0.25::DOUBLE - (lon + 360)), j) = 1),
 n AS (SELECT c_custkey, lat, lon, -16 + i * 0.25::DOUBLE AS near_lat, CASE WHEN j * 0.25::DOUBLE >= 180 THEN j * 0.25::DOUBLE - 360 ELSE j * 0.25::DOUBLE END AS near_lon FROM a JOIN b USING (c_custkey))

@@ -276,3 +276,13 @@ def test_user_files_are_refused_by_their_size(spark, tmp_path):
     (tmp_path / "empty.csv").touch()
     with pytest.raises(checks.ContractError):
         periods.check_file(spark, str(tmp_path / "empty.csv"))
+
+
+def test_submitted_buses_are_dealt_again(spark):
+    shares = spark.createDataFrame([("a", 1, 0.25), ("a", 2, 0.75), ("b", 2, 1.0), ("b", 3, 0.0), ("c", 4, 1.0)], "plant string, bus int, share double")
+    values = spark.createDataFrame([("a", 100.0), ("b", 1e9), ("c", 1.0)], "plant string, mw double")
+    sent = spark.createDataFrame([(1, 25.0001), (2, 1e9 + 75.5), (4, float("nan")), (9, 1.0)], "bus int, mw double")
+    got = {r["bus"]: (r["mw"], r["fault"]) for r in buses.recomputed(sent, values, shares, "plant", "bus", "mw").collect()}
+    assert got == {1: (25.0, "differs"), 2: (1e9 + 75.0, None), 3: (0.0, "missing"), 4: (1.0, "differs"), 9: (None, "unknown")}
+    twice = buses.recomputed(sent.unionByName(sent.where("bus = 2")), values, shares, "plant", "bus", "mw").where("bus = 2").first()
+    assert twice["fault"] == "repeated" and buses.recomputed(sent.where("false"), values, shares, "plant", "bus", "mw").where("fault <> 'missing'").isEmpty()
