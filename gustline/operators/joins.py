@@ -65,7 +65,7 @@ def priority_match(rows: DataFrame, registry: DataFrame, key: str, steps: list[t
         known = registry.withColumn("_v", theirs).where("_v IS NOT NULL AND _v <> ''").groupBy("_v").agg(F.count("*").alias(f"_n_{name}"), F.min(key).alias(f"_k_{name}"))
         out = out.withColumn("_v", mine).join(known, "_v", "left").drop("_v")
         state.append(name)
-    pick = lambda f: F.coalesce(*(F.when(F.col(f"_n_{n}").isNotNull(), f(n)) for n in state))
+    pick = lambda f: reduce(lambda chain, n: chain.when(F.col(f"_n_{n}").isNotNull(), f(n)), state, F)  # noqa: E731  (a null of the first step found is its result; no later step is asked)
     unique = lambda n: F.col(f"_n_{n}") == 1
     out = out.withColumns(
         {

@@ -137,6 +137,19 @@ def test_priority_match_stops_at_an_ambiguous_value(spark):
     assert got[""][1:] == got[None][1:] == ("unresolved", "not_found", None)
 
 
+def test_an_ambiguous_override_is_not_replaced_by_a_later_step(spark):
+    registry = spark.createDataFrame([(1, "A", "X"), (2, "B", "X"), (3, "C", "Y"), (4, "D", "Z")], "id int, code string, name string")
+    rows = spark.createDataFrame([("A", "X"), ("A", "Y"), ("A", ""), ("E", "W")], "code string, name string")
+    steps = [("name", F.col("name"), F.col("name")), ("exact", F.col("code"), F.col("code"))]
+    got = {(r.code, r.name): (r.match_method, r.match_status, r.match_reason, r.matched) for r in joins.priority_match(rows, registry, "id", steps).collect()}
+    assert got == {
+        ("A", "X"): ("unresolved", "review_required", "ambiguous_name", None),
+        ("A", "Y"): ("name", "matched", "", 3),
+        ("A", ""): ("exact", "matched", "", 1),
+        ("E", "W"): ("unresolved", "unresolved", "not_found", None),
+    }
+
+
 def test_shares_sum_to_one(spark):
     rows = spark.createDataFrame([("p", 1, 3.0), ("p", 2, 1.0), ("q", 1, 2.0)], "plant string, bus int, cap double")
     shares = buses.allocation_shares(rows, "plant", "bus", "cap")
