@@ -26,16 +26,16 @@ def accumulate(values: DataFrame, shares: DataFrame, plant: str, bus: str, value
     return dealt.groupBy(bus).agg(F.sum(F.col(value) * F.col("share")).alias(value), F.count_distinct(plant).alias("plants"))
 
 
-def recomputed(submitted: DataFrame, values: DataFrame, shares: DataFrame, plant: str, bus: str, value: str, tolerance: float = 1e-6) -> DataFrame:
+def recomputed(submitted: DataFrame, values: DataFrame, shares: DataFrame, plant: str, bus: str, value: str, tolerance: float = 1e-6, relative: float | None = None) -> DataFrame:
     """(bus, submitted, value, fault) of every bus that either side names: the value that counts is the one dealt here, never the submitted one.
 
-    The fault is null where both agree within a tolerance relative to the larger of 1 and the value; else missing (not submitted), unknown (no plant deals to it), repeated (submitted several times) or differs. A
+    The fault is null where both agree within a tolerance relative to the larger of 1 and the value, or, where ``relative`` is given, within the larger of an absolute tolerance and that part of the value; else missing (not submitted), unknown (no plant deals to it), repeated (submitted several times) or differs. A
     submitted value that is null or not finite differs.
     """
     mine = accumulate(values, shares, plant, bus, value).select(F.col(bus), F.col(value), F.lit(True).alias("_dealt"))
     theirs = submitted.groupBy(bus).agg(F.sum(value).alias("submitted"), F.count("*").alias("_n"))
     out = mine.join(theirs, bus, "full")
-    close = F.abs(F.col("submitted") - F.col(value)) <= F.greatest(F.lit(1.0), F.abs(F.col(value))) * tolerance
+    close = F.abs(F.col("submitted") - F.col(value)) <= F.greatest(F.lit(tolerance), F.abs(F.col(value)) * (tolerance if relative is None else relative))
     fault = F.when(F.col("_n").isNull(), "missing").when(F.col("_dealt").isNull(), "unknown").when(F.col("_n") > 1, "repeated").when(~F.coalesce(close & ~F.isnan("submitted"), F.lit(False)), "differs")
     return out.select(bus, "submitted", value, fault.alias("fault"))
 

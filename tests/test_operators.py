@@ -299,3 +299,12 @@ def test_submitted_buses_are_dealt_again(spark):
     assert got == {1: (25.0, "differs"), 2: (1e9 + 75.0, None), 3: (0.0, "missing"), 4: (1.0, "differs"), 9: (None, "unknown")}
     twice = buses.recomputed(sent.unionByName(sent.where("bus = 2")), values, shares, "plant", "bus", "mw").where("bus = 2").first()
     assert twice["fault"] == "repeated" and buses.recomputed(sent.where("false"), values, shares, "plant", "bus", "mw").where("fault <> 'missing'").isEmpty()
+
+
+def test_a_submitted_megawatt_too_much_is_a_fault_of_a_large_bus(spark, tmp_path):
+    from gustline import plans
+
+    rows = [(k, k % 25, 2e8 + k / 100) for k in range(600)]
+    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r["bus"]: r["fault"] for r in plans.QUERIES["recomputed_buses"](spark, str(tmp_path)).collect()}
+    assert [got[b] for b in (5, 10, 15)] == ["differs", "repeated", "differs"] and got[2] is None
