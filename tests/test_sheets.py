@@ -68,3 +68,26 @@ def test_sheet_rows_that_can_be_mapped(spark):
     rows = [("eol.cv.1", " eol", "BA", "101", "60"), ("eol.cv.1", "UFV", "BA", "102", "60"), ("-", "EOL", "BA", "103", "60"), ("x.2", "EOL", "BA", "0", "60"), ("x.3", "EOL", "BA", "104", "n/d"), ("x.4", "EOL", None, "105.0", "1"), ("x.5", "EOL", "BA", None, "1"), ("x.6", None, "BA", "7", "1"), ("x.7", "EOL", "BA", "8", "-1")]
     got = registers.read_bus_sheet(spark.createDataFrame(rows, "code string, kind string, state string, bus string, share_mw string"), "EOL").collect()
     assert {tuple(r) for r in got} == {("EOL.CV", 101, "BA", 60.0), ("X", 105, None, 1.0)}
+
+
+def most_rows(df):
+    """The largest count of rows that a node of the plan made when it ran."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind, metrics = node.getClass().getSimpleName(), node.metrics()
+        if metrics.contains("numOutputRows"):
+            most = max(most, metrics.apply("numOutputRows").value())
+        todo += [node.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [node.plan()] if kind.endswith("QueryStageExec") else [node.children().apply(k) for k in range(node.children().size())]
+    return most
+
+
+def test_rows_of_a_sheet_are_summed_before_they_meet_the_members(spark):
+    members = spark.range(400).selectExpr("id % 2 AS plant", "id % 300 AS place", "CASE WHEN id % 300 < 250 THEN 'R' ELSE 'other' END AS code_root", "CAST(id AS DOUBLE) AS capacity")
+    sheet = spark.range(3000).selectExpr("CASE WHEN id % 10 = 9 THEN 'other' ELSE 'R' END AS code_root", "CASE WHEN id % 10 < 9 THEN id % 3 END AS bus", "CASE WHEN id % 3 > 0 THEN 'S' END AS state", "1.0D AS share_mw")
+    got = registers.bus_mapping(members, sheet)
+    assert most_rows(got) <= 3000
+    rows = {(r["place"], r["bus"]): (r["plant"], r["state"], r["share_mw"], r["capacity"], r["code_root"], r["places"], r["mapped"]) for r in got.collect()}
+    assert len(rows) == got.count() == 250 * 3
+    assert rows[(5, 0)] == (1, None, 900.0 * 2, 5.0, "R", 150, 125) and rows[(200, 2)] == (0, "S", 900.0, 200.0, "R", 150, 125)
