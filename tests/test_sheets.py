@@ -91,3 +91,14 @@ def test_rows_of_a_sheet_are_summed_before_they_meet_the_members(spark):
     rows = {(r["place"], r["bus"]): (r["plant"], r["state"], r["share_mw"], r["capacity"], r["code_root"], r["places"], r["mapped"]) for r in got.collect()}
     assert len(rows) == got.count() == 250 * 3
     assert rows[(5, 0)] == (1, None, 900.0 * 2, 5.0, "R", 150, 125) and rows[(200, 2)] == (0, "S", 900.0, 200.0, "R", 150, 125)
+
+
+def test_parts_in_workbooks_are_summed_before_they_meet_the_places(spark, tmp_path):
+    from gustline import plans
+
+    spark.range(3000).selectExpr("id AS p_partkey", "CAST(100 AS DOUBLE) AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(600).selectExpr("id AS c_custkey", "CAST(id % 25 AS INT) AS c_nationkey", "CAST(id AS DOUBLE) AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    got = plans.QUERIES["sheet_bus_mapping"](spark, str(tmp_path))
+    assert most_rows(got) <= 3000
+    own = [k for k in range(3000) if k % 30 == 1 and k % 40 == 31 and k % 11 and k % 13]
+    assert [(r["share_mw"], r["state"]) for r in got.where("place = 51 AND bus = 31").collect()] == [(100.0 * len(own), "S1")]
