@@ -33,7 +33,8 @@ def _sales(spark, sf_dir):
 @query(f"""WITH {_SALES} SELECT band, plant, month, condition, CAST(grouping(band) AS INTEGER) AS all_band, CAST(grouping(plant) AS INTEGER) AS all_plant, CAST(grouping(month) AS INTEGER) AS all_month, CAST(grouping(condition) AS INTEGER) AS all_condition, {_REG}
 FROM sales GROUP BY GROUPING SETS ((), (band), (plant), (month), (condition))""".replace(", 6) AS", ", 4) AS"))
 def metrics_by_slice(spark, sf_dir):
-    return rounded(metrics.slices(_sales(spark, sf_dir), metrics.regression(F.col("gen"), F.col("pred"), F.col("cap")), ["band", "plant", "month", "condition"]), 4)
+    of = F.col("gen"), F.col("pred"), F.col("cap")
+    return rounded(metrics.slices_with_quantiles(_sales(spark, sf_dir), metrics.regression_means(*of), metrics.regression_quantiles(*of), ["band", "plant", "month", "condition"]), 4)
 
 
 _MONTHLY = f"""{_SALES}, h AS (SELECT month, hour, sum(gen) AS gen, sum(pred) AS pred, sum(base) AS base FROM sales GROUP BY 1, 2), mt AS (SELECT month, count(*) AS hours, sum(gen) AS gen, round(sum(abs(pred - gen)) / nullif(sum(abs(gen)), 0), 9) AS wape_pred, round(sum(abs(base - gen)) / nullif(sum(abs(gen)), 0), 9) AS wape_base FROM h GROUP BY 1)"""

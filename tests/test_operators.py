@@ -308,3 +308,31 @@ def test_a_submitted_megawatt_too_much_is_a_fault_of_a_large_bus(spark, tmp_path
     spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_acctbal double").write.parquet(f"{tmp_path}/customer.parquet")
     got = {r["bus"]: r["fault"] for r in plans.QUERIES["recomputed_buses"](spark, str(tmp_path)).collect()}
     assert [got[b] for b in (5, 10, 15)] == ["differs", "repeated", "differs"] and got[2] is None
+
+
+def test_quantiles_of_slices_are_exact_and_hold_no_slice_in_a_task(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from gustline import plans
+    from gustline.operators import metrics
+
+    lines = spark.range(2000).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "id * 7 AS l_partkey", "id AS l_suppkey", "TIMESTAMP_NTZ '1995-01-01' + make_dt_interval(CAST(id % 90 AS INT)) AS l_shipdate", "IF(id % 4 = 0, NULL, 'R') AS l_returnflag", "CAST(id * id % 9999 AS DOUBLE) AS l_extendedprice", "CAST(id % 50 AS DOUBLE) AS l_quantity", "0.05D AS l_discount")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = plans.QUERIES["metrics_by_slice"](spark, str(tmp_path))
+    assert "percentile" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["all_condition"], r["condition"]): r["rows"] for r in got.where("all_band + all_plant + all_month = 3").collect()} == {(1, None): 2000, (0, None): 500, (0, "R"): 1500}
+
+    for name in ("CELLS", "FEW_ROWS"):
+        monkeypatch.setattr(metrics, name, 4)
+    odd = [0.0, -0.0, 1e300, -1e300, 5e-324, 1.5, 1.5, None]
+    rows = [(k % 3 or None, "ab"[k % 2], odd[k] if k < len(odd) else k * k % 611 / 7 - 20, 7.0 if k % 2 else None) for k in range(900)]
+    table = spark.createDataFrame(rows, "plant int, kind string, x double, y double")
+    asked = {"x50": (F.col("x"), 0.5), "x95": (F.col("x"), 0.95), "x100": (F.col("x"), 1.0), "y10": (F.col("y"), 0.1)}
+    out = metrics.slices_with_quantiles(table, [F.count("*").alias("rows")], asked, ["plant", "kind"]).collect()
+    assert len(out) == 1 + 3 + 2
+    for r in out:
+        own = [x for x in rows if (r["all_plant"] or x[0] == r["plant"]) and (r["all_kind"] or x[1] == r["kind"])]
+        assert r["rows"] == len(own)
+        for name, (at, q) in {"x50": (2, 0.5), "x95": (2, 0.95), "x100": (2, 1.0), "y10": (3, 0.1)}.items():
+            held = [x[at] for x in own if x[at] is not None]
+            assert r[name] == (pytest.approx(np.quantile(held, q), rel=1e-12) if held else None)
