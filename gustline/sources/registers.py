@@ -69,9 +69,10 @@ def read_bus_sheet(rows: DataFrame, kind: str) -> DataFrame:
 def bus_mapping(members: DataFrame, sheet: DataFrame, root: str = "code_root") -> DataFrame:
     """Members of plants joined to all buses of their code root, summed by plant, place and bus (null fields are groups too), with how many of the plant's places
     have a bus. members: plant, place, code_root, capacity; sheet: code_root, bus, state, share_mw."""
-    # a root's rows are summed by bus and state before they meet the members, so a pair is made for each bus of a root, not for each row of the sheet
-    each = sheet.where("bus IS NOT NULL").groupBy(root, "bus", "state").agg(F.sum("share_mw").alias("share_mw"))
+    # a root's rows are summed by bus and state before they meet the members, so a pair is made for each bus of a root, not for each row of the sheet; both joins read the sums, the sheet is read once
+    each = sheet.where("bus IS NOT NULL").groupBy(root, "bus", "state").agg(F.sum("share_mw").alias("share_mw")).checkpoint()
+    own = members.select("plant", "place", root, "capacity").repartition("plant", "place")  # where the sheet's sums are small enough to be broadcast, nothing below is dealt again by place
     roots = each.select(root).distinct().withColumn("_m", F.lit(True))
-    status = members.join(roots, root, "left").groupBy("plant", "place").agg(F.bool_or(F.coalesce("_m", F.lit(False))).alias("_m")).groupBy("plant").agg(F.count("*").alias("places"), F.count_if("_m").alias("mapped"))
-    mapped = members.join(each, root).groupBy("plant", "place", "bus", "state").agg(F.sum("share_mw").alias("share_mw"), F.min("capacity").alias("capacity"), F.min(root).alias(root))
-    return mapped.join(status, "plant", "left")
+    status = own.join(roots, root, "left").groupBy("plant", "place").agg(F.bool_or(F.coalesce("_m", F.lit(False))).alias("_m")).groupBy("plant").agg(F.count("*").alias("places"), F.count_if("_m").alias("mapped"))
+    mapped = own.join(each, root).groupBy("plant", "place", "bus", "state").agg(F.sum("share_mw").alias("share_mw"), F.min("capacity").alias("capacity"), F.min(root).alias(root))
+    return mapped.join(F.broadcast(status), "plant", "left")  # a row for each plant

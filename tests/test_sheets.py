@@ -102,3 +102,40 @@ def test_parts_in_workbooks_are_summed_before_they_meet_the_places(spark, tmp_pa
     assert most_rows(got) <= 3000
     own = [k for k in range(3000) if k % 30 == 1 and k % 40 == 31 and k % 11 and k % 13]
     assert [(r["share_mw"], r["state"]) for r in got.where("place = 51 AND bus = 31").collect()] == [(100.0 * len(own), "S1")]
+
+
+def test_a_sheet_is_read_once_for_a_mapping(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    members = spark.range(40).selectExpr("id % 2 AS plant", "id AS place", "CONCAT('R', id % 4) AS code_root", "CAST(id AS DOUBLE) AS capacity")
+    sheet = spark.range(300).selectExpr("CONCAT('R', id % 3) AS code_root", "id % 5 AS bus", "'S' AS state", "1.0D AS share_mw").mapInArrow(counted, "code_root string, bus long, state string, share_mw double")
+    rows = registers.bus_mapping(members, sheet).collect()
+    assert read.value == 300
+    # places 3, 7, 11 and so on are of R3, which the sheet lacks: all of the odd plant
+    assert len(rows) == 30 * 5 and {(r["plant"], r["share_mw"], r["places"], r["mapped"]) for r in rows} == {(0, 20.0, 20, 20), (1, 20.0, 20, 10)}
+
+
+def test_small_workbooks_share_tasks(spark, tmp_path):
+    sheets.write_sheets(spark.range(60).selectExpr("id % 30 AS book", "id"), str(tmp_path), "book", {"id": "id"}, ["id"]).collect()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        got = sheets.read_sheets(spark, str(tmp_path), {"id": ["id"]})
+        assert got.rdd.getNumPartitions() <= 30
+        assert sorted(int(r["id"]) for r in got.collect()) == list(range(60))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_sheet_parsed_at_once_equals_one_parsed_by_rows(tmp_path, monkeypatch):
+    by_hand(tmp_path / "a.xlsx")
+    (tmp_path / "b.xlsx").write_bytes(sheets.encoded([["N", "Text"], [1, " x <&> \t"], [None, "a  b"], [True, "a b"], [2.5], [None, None]], "s"))
+    whole = [list(sheets.sheet_rows(tmp_path / n, s)) for n, s in (("a.xlsx", "Plants & more"), ("b.xlsx", None))]
+    assert whole[1] == [(1, ["N", "Text"]), (2, ["1", " x <&> \t"]), (3, [None, "a  b"]), (4, ["True", "a b"]), (5, ["2.5"])]
+    monkeypatch.setattr(sheets, "WHOLE_BYTES", 0)
+    assert whole == [list(sheets.sheet_rows(tmp_path / n, s)) for n, s in (("a.xlsx", "Plants & more"), ("b.xlsx", None))]
